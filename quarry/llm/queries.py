@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import distinct, tokenize, topn
+from quarry.llm import distinct, residue, tokenize, topn
 from quarry.sources.tables import read_table
 
 #: Where the public vocabularies lie on every machine.
@@ -47,7 +47,11 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p1_daily, p1_monthly, p4_found, p8_ids)}
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return residue.find_residue(read_table(spark, folder, "documents"), key="doc_id", text="text").select("doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_daily, p1_monthly, p4_found, p8_ids, p10_found)}
 
 _COUNTS = """
 WITH edges AS (SELECT strftime(recorded_at, '{0}') AS {1}, kind, optional, parent_crate_id, dep_crate_name FROM crates_dependencies),
