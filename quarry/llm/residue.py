@@ -172,7 +172,9 @@ def find_residue(df: DataFrame, *, key: str, text: str) -> DataFrame:
     extracted = written(extract(df, key, text), "residue")
     distinct = extracted.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("folded").alias("folded"), F.min("kind").alias("kind"), F.max("explains").alias("explains"))
     passages = written(with_simhash(distinct), "passages")
-    labelled = frontier = passages.where(F.col("kind").isNotNull()).select("key", "folded", "kind", "sim")
+    labelled = passages.where(F.col("kind").isNotNull()).select("key", "folded", "kind", "sim")
+    # A passage like one with an unfilled field may have that field filled: these labels do not spread.
+    frontier = labelled.where(~F.col("kind").isin("placeholder", "value"))
     rest = passages
     while True:
         count = frontier.count()

@@ -107,6 +107,15 @@ ERRORS = (
     r"^the backend did not answer\b",
     r"^upstream (?:closed|timed out)\b",
     r"^no content was received from the origin\b",
+    r"^http [45]\d\d\b",
+    r"^your session has (?:expired|timed out|ended)\b",
+    r"^log ?in again to\b",
+    r"^(?:we'll|we will|we shall) be back (?:shortly|soon)\b",
+    r"^vous n'avez pas (?:le droit|l'autorisation|la permission|acces)\b",
+    r"^(?:usted )?no tiene (?:permiso|autorizacion|acceso)\b",
+    r"^(?:sie haben keine berechtigung|zugriff verweigert|acces refuse|acceso denegado)\b",
+    r"^the query for \w+ \w+ failed\b",
+    r"^slow down and retry\b",
 )
 FILLERS = (
     r"\b(text|texto|texte)(?: \1){2,}\b",
@@ -128,6 +137,19 @@ FILLERS = (
     r"^(?:inhalt|text|abschnitt|beschreibung|weiteres) (?:folgt|wird noch|kommt noch)\b",
     r"^(?:contenido|texto|seccion) (?:pendiente|por anadir|proximamente)\b",
     r"\bpendiente de redactar\b",
+    r"^(?:this|the) (?:section|article|page|paragraph|part) (?:has not been|is not|was not|will be|is yet to be|is to be) (?:yet )?(?:written|added|completed|filled)\b",
+    r"^example (?:item|heading|text|paragraph|sentence|caption|entry)\b",
+    r"^(?:todo|tbd|fixme|to do): ",
+    r"^blah blah\b",
+    r"^(?:add|write|insert|put|give|enter) (?:a|an|the|some|your|two|one|three) (?:or \w+ )?(?:short |brief )?(?:summary|description|text|paragraph|sentence|sentences|introduction|details|content|overview|lead)\b",
+    r"^replace this (?:paragraph|text|section|sentence|line)\b",
+    r"^remplacez ce(?:tte)? (?:paragraphe|texte|section|phrase|ligne)\b",
+    r"^(?:bitte )?(?:diesen absatz|diesen text|diesen abschnitt) (?:bitte )?(?:vor dem speichern )?ersetzen\b",
+    r"^ersetzen sie diese[nrs]? (?:absatz|text|abschnitt|satz|zeile)\b",
+    r"^(?:reemplace|sustituya) este (?:parrafo|texto|apartado)\b",
+    r"^(?:dieser|der) (?:abschnitt|artikel|text) (?:wurde noch nicht|ist noch nicht|muss noch|folgt)\b",
+    r"^cet(?:te)? (?:section|article|partie) (?:n'a pas encore|reste a|est a)\b",
+    r"^est[ea] (?:seccion|articulo|apartado) (?:aun no|todavia no|esta por|esta pendiente)\b",
     r"^(?:proximamente|bientot disponible|demnachst)\W*$",
 )
 
@@ -139,7 +161,7 @@ _INSIDE = re.compile("|".join(r for r in NOTICES + ERRORS + FILLERS if not r.sta
 #: Some literal of every rule that may match inside a passage.
 _INSIDE_HINT = re.compile(r"script|\bjs\b|your browser|skripte|member function|error|refused|text|placeholder|redactar|went wrong")
 _KINDS = [(kind, re.compile("|".join(rules))) for kind, rules in (("script notice", NOTICES), ("error", ERRORS), ("filler", FILLERS))]
-_TAG = re.compile(r"</?(?!noscript|error)[a-z][a-z0-9]*\b[^<>]*>", re.I)
+_TAG = re.compile(r"</?(?:" + "|".join(t for t in TAGS if t not in ("NOSCRIPT", "ERROR")) + r")\b[^<>]*>", re.I)
 _QUOTED = re.compile(r"''[^'\n]+''(?!')|“[^”]*”|„[^“”]*[“”]|«[^»]*»|\"[^\"]*\"|‘[^’]*’")
 _LEET = str.maketrans("013457", "oieast")
 _LEET_HINT = re.compile(r"[A-Za-z][0-9]|[0-9][A-Za-z]")
@@ -154,11 +176,11 @@ _CAPITALS = re.compile(r"[<#][A-Z]")
 _FIRST_WORDS = frozenset(
     "error fehler erreur http 400 401 403 404 405 408 409 410 429 500 501 502 503 504 page the requested die la no access you internal"
     " service bad gateway a database datenbankfehler fatal parse uncaught syntax warning notice traceback oops something sorry this try"
-    " too could le el der upstream sample dummy placeholder filler platzhaltertext blindtext texto texte your insert enter type write add"
+    " too could le el der upstream we'll we your log slow vous usted acces acceso zugriff sie sample dummy example fixme to blah give replace remplacez diesen ersetzen reemplace sustituya dieser cet cette esta este placeholder filler platzhaltertext blindtext texto texte your insert enter type write add"
     " put votre escriba introduzca inserte hier ihr bitte text section article content details description more to coming under tbd tba"
     " todo contenu inhalt abschnitt beschreibung weiteres contenido seccion proximamente bientot demnachst".split()
 )
-_FIRST_WORD = re.compile(r"\W*(\w+)")
+_FIRST_WORD = re.compile(r"\W*([\w']+)")
 
 
 def clean(text: str) -> str:
