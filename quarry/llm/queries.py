@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import distinct, residue, tokenize, topn
+from quarry.llm import distinct, leakage, residue, tokenize, topn
 from quarry.sources.tables import read_table
 
 #: Where the public vocabularies lie on every machine.
@@ -47,11 +47,28 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.find_leaks(
+        read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"),
+        key="doc_id", text="text", item="item_id", item_text="text", answer="answer",
+    )
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _leaks(spark, folder).select("doc_id", "item_id")
+
+
+def p9_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Which items leaked: in how many documents, the longest run, and the largest share of the item in one document."""
+    share = F.round(F.max(F.col("common") / F.col("item_words")), 6).alias("largest_share")
+    return _leaks(spark, folder).groupBy("item_id").agg(F.count("*").alias("documents"), F.max("run").alias("longest_run"), share)
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return residue.find_residue(read_table(spark, folder, "documents"), key="doc_id", text="text").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_daily, p1_monthly, p4_found, p8_ids, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_daily, p1_monthly, p4_found, p8_ids, p9_found, p9_items, p10_found)}
 
 _COUNTS = """
 WITH edges AS (SELECT strftime(recorded_at, '{0}') AS {1}, kind, optional, parent_crate_id, dep_crate_name FROM crates_dependencies),
