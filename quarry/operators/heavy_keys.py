@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.schema import exact
+
 #: Local dictionary entries after which a split sends its arrays and starts anew (bounds memory, drops nothing).
 FLUSH_KEYS = 500_000
 
@@ -68,7 +70,7 @@ def key_totals(df: DataFrame, key: str, value: str | None = None) -> DataFrame:
 
     columns = [F.col(key).cast("string").alias("key")] + ([F.col(value).cast("long").alias("value")] if value else [])
     return (
-        df.select(*columns)
+        exact(df, key, *([value] if value else [])).select(*columns)
         .mapInArrow(split, "key string, rows long, total long")
         .groupBy("key")
         .agg(F.sum("rows").alias("rows"), F.sum("total").alias("total"))

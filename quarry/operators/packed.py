@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.schema import exact
+
 BLANK, BREAK, SOFT, QUOTE, SEPARATOR, NAME = range(6)
 
 
@@ -266,6 +268,6 @@ def split_packed(df: DataFrame, *, key: str, field: str, at_least: int = 1) -> D
                 [batch.column(0).take(pa.array(parent[wanted])), pa.array(pos[wanted].astype(np.int32)), items], ["key", "pos", "item"]
             )
 
-    rows = df.select(F.col(key).cast("long").alias("key"), F.col(field).alias("text")).groupBy("key").agg(F.min("text").alias("text"))
+    rows = exact(df, key, field).select(F.col(key).cast("long").alias("key"), F.col(field).alias("text")).groupBy("key").agg(F.min("text").alias("text"))
     rows = rows.where(F.col("text").isNotNull())
     return rows.mapInArrow(split, "key long, pos int, item string").select(F.col("key").alias(key), "pos", "item")

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.schema import exact
+
 #: At most so many keys are salted; the list that is broadcast has this proven bound.
 HOT_KEYS = 256
 #: Join buckets of a salted key.
@@ -93,13 +95,13 @@ def orphan_references(
     """
     p_id, p_name, p_since = parent
     r_id, r_name, r_gone = removal
-    rows = references.select(
+    rows = exact(references, record, at, ref_id, ref_name).select(
         F.col(record).alias("record"), F.col(at).alias("at"), reference_key(F.col(ref_id), F.col(ref_name)).alias("key")
     )
     rows = first_records(rows, "record", "at", ["key"]).where(F.col("key").isNotNull())
     facts = parent_facts(
-        parents.select(F.col(p_id).alias("id"), F.col(p_name).alias("name"), F.col(p_since).alias("since")),
-        removals.select(F.col(r_id).alias("id"), F.col(r_name).alias("name"), F.col(r_gone).alias("gone")),
+        exact(parents, p_id, p_name, p_since).select(F.col(p_id).alias("id"), F.col(p_name).alias("name"), F.col(p_since).alias("since")),
+        exact(removals, r_id, r_name, r_gone).select(F.col(r_id).alias("id"), F.col(r_name).alias("name"), F.col(r_gone).alias("gone")),
     )
     keys = rows.groupBy("key").agg(F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.count("*").alias("n"))
     known = facts.where("known")

@@ -10,17 +10,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.schema import exact
+
 
 def latest_rows(df: DataFrame, keys: list[str], at: str, value: str, entity: str) -> DataFrame:
     """Per ``keys`` the value and entity of the row with the greatest ``at`` (a null time comes first; ties take the greatest value)."""
     order = F.struct(F.col(at).alias("at"), F.col(value).alias("value"), F.col(entity).alias("entity"))
-    return df.groupBy(*keys).agg(F.max(order).alias("best")).select(*keys, F.col("best.value").alias(value), F.col("best.entity").alias(entity))
+    return exact(df, *keys, at, value, entity).groupBy(*keys).agg(F.max(order).alias("best")).select(*keys, F.col("best.value").alias(value), F.col("best.entity").alias(entity))
 
 
 def daily_totals(df: DataFrame, *, entity: str, day: str, value: str) -> DataFrame:
     """``(entity, day, total)``: null values count 0; rows without entity or day are left out."""
     return (
-        df.where(F.col(entity).isNotNull() & F.col(day).isNotNull())
+        exact(df, entity, day, value).where(F.col(entity).isNotNull() & F.col(day).isNotNull())
         .groupBy(F.col(entity).alias("entity"), F.col(day).cast("date").alias("day"))
         .agg(F.coalesce(F.sum(value), F.lit(0)).cast("long").alias("total"))
     )

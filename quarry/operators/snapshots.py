@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.schema import exact
+
 #: Rows a bucket should hold; 17 bytes a row, so a task keeps some tens of megabytes.
 BUCKET_ROWS = 1_000_000
 CHANGES = ("added", "removed", "changed")
@@ -61,7 +63,7 @@ def diff_snapshots(snapshots: DataFrame, *, snapshot: str, key: str, compare: li
     one with the smallest field hash stands for it. Rows with null key or snapshot belong to no snapshot
     and are left out. One snapshot or none gives no rows. Other columns are never read.
     """
-    compact = snapshots.select(F.col(snapshot).alias("snap"), F.col(key).cast("long").alias("key"), row_hash(*compare).alias("hash"))
+    compact = exact(snapshots, snapshot, key, *compare).select(F.col(snapshot).alias("snap"), F.col(key).cast("long").alias("key"), row_hash(*compare).alias("hash"))
     compact = compact.where(F.col("snap").isNotNull() & F.col("key").isNotNull())
     # As many rows as there are snapshots.
     counts = compact.groupBy("snap").count().orderBy("snap").collect()
@@ -108,7 +110,7 @@ def with_values(changes: DataFrame, snapshots: DataFrame, *, snapshot: str, key:
     """
     wanted = changes.where(F.col("change") != "removed").select(snapshot, key)
     values = (
-        snapshots.select(F.col(snapshot), F.col(key).cast("long").alias(key), *[F.col(f) for f in fields])
+        exact(snapshots, snapshot, key, *fields).select(F.col(snapshot), F.col(key).cast("long").alias(key), *[F.col(f) for f in fields])
         .join(wanted, [snapshot, key], "left_semi")
         .groupBy(snapshot, key)
         .agg(F.min(F.struct(*fields)).alias("values"))

@@ -102,3 +102,16 @@ def coerce(value: object, kind: T.DataType) -> Column:
     if isinstance(kind, T.StringType):
         return F.lit(str(value))
     raise PlanError(f"columns of type {kind.simpleString()} cannot be filtered")
+
+
+def exact(df, *names: str):
+    """Only the named columns, matched in exact case (the first of equal names), whatever else the frame holds.
+
+    Columns are addressed by position, so that twins differing in case or not at all are no ambiguity.
+    """
+    have = df.columns
+    if missing := [n for n in names if n not in have]:
+        raise PlanError(f"no columns {missing}")
+    wanted = list(dict.fromkeys(names))
+    places = [f"__c{i}" for i in range(len(have))]
+    return df.toDF(*places).select(*[F.col(places[have.index(n)]).alias(n) for n in wanted])
