@@ -16,6 +16,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.schema import exact
+
 #: Hash ranges are this many leading bits of the hash.
 RANGE_BITS = 10
 #: Bits of one mask column.
@@ -24,12 +26,12 @@ WORD = 63
 
 def dimension_cells(df: DataFrame, dims: list[str]) -> list[tuple]:
     """The distinct value tuples of ``dims`` (categories: their number, not the data's, bounds this list)."""
-    rows = df.select(*dims).distinct().collect()
+    rows = exact(df, *dims).distinct().collect()
     return sorted((tuple(r) for r in rows), key=lambda t: tuple((v is not None, v) for v in t))
 
 
-def partials(df: DataFrame, *, period: Column, dims: list[str], ids: list[str], cells: list[tuple]) -> DataFrame:
-    """``(bucket, field, hash, period, m0, m1, ...)``: one row per identifier and period.
+def partials(df: DataFrame, *, at: str, dims: list[str], ids: list[str], cells: list[tuple], period=F.to_date) -> DataFrame:
+    """``(bucket, field, hash, period, m0, m1, ...)``: one row per identifier and period (a function of ``at``).
 
     Bit i of the masks tells that the identifier occurs with ``cells[i]``. Null identifiers are not counted;
     a null period or dimension value is a value of its own.
@@ -41,7 +43,7 @@ def partials(df: DataFrame, *, period: Column, dims: list[str], ids: list[str],
             same = same & F.col(name).eqNullSafe(F.lit(value))
         number = F.when(same, F.lit(i)).otherwise(number)
     fields = F.array(*[F.struct(F.lit(c).alias("field"), F.when(F.col(c).isNotNull(), F.xxhash64(c)).alias("hash")) for c in ids])
-    rows = df.select(period.alias("period"), number.alias("cell"), F.explode(fields).alias("x"))
+    rows = exact(df, at, *dims, *ids).select(period(F.col(at)).alias("period"), number.alias("cell"), F.explode(fields).alias("x"))
     rows = rows.select("period", "cell", "x.field", "x.hash").where(F.col("hash").isNotNull())
     masks = [
         F.bit_or(F.expr(f"if(cell between {w * WORD} and {(w + 1) * WORD - 1}, shiftleft(1L, cell % {WORD}), 0L)")).alias(f"m{w}")

@@ -18,7 +18,7 @@ DIMS, IDS = ["kind", "optional"], ["parent_crate_id", "dep_crate_name"]
 def _distinct(spark: SparkSession, folder: str, months: bool) -> DataFrame:
     edges = read_table(spark, folder, "crates_dependencies")
     cells = distinct.dimension_cells(edges, DIMS)
-    state = distinct.partials(edges, period=F.to_date("recorded_at"), dims=DIMS, ids=IDS, cells=cells)
+    state = distinct.partials(edges, at="recorded_at", dims=DIMS, ids=IDS, cells=cells)
     if months:
         state = distinct.merge(state, period=F.trunc("period", "month"))
     return distinct.counts(state, dims=DIMS, ids=IDS, cells=cells)

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import residue_rules as rules
+from quarry.schema import exact
 from quarry.session import durable, written
 
 WORDS = 5
@@ -84,7 +85,7 @@ def extract(df: DataFrame, key: str, text: str) -> DataFrame:
                 ["doc", "keys", "key", "folded", "kind", "explains"],
             )
 
-    return df.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).where(F.col("doc").isNotNull()).mapInArrow(split, _EXTRACTED)
+    return exact(df, key, text).select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).where(F.col("doc").isNotNull()).mapInArrow(split, _EXTRACTED)
 
 
 def simhashes(texts: list[str]) -> np.ndarray:

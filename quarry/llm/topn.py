@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.schema import exact
 from quarry.session import written
 
 #: Rows of a split that are cut down together (bounds a task's memory).
@@ -83,7 +84,7 @@ def top_items(df: DataFrame, *, groups: list[str], item: str, score: str, n: int
         if size:
             yield from cut()
 
-    rows = df.select(F.col(item).cast("long").alias("item"), F.col(score).cast("long").alias("score"), *[F.col(g).cast("string").alias(f"g{i}") for i, g in enumerate(groups)])
+    rows = exact(df, item, score, *groups).select(F.col(item).cast("long").alias("item"), F.col(score).cast("long").alias("score"), *[F.col(g).cast("string").alias(f"g{i}") for i, g in enumerate(groups)])
     rows = rows.where(F.col("item").isNotNull() & F.col("score").isNotNull())
     # Read twice below; the local winners are far fewer than the rows.
     local = written(rows.mapInArrow(split, LOCAL), "topn")
