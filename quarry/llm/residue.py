@@ -28,8 +28,8 @@ SIMILARITY = 0.8
 HAMMING = 3
 #: The hash is cut into so many blocks; each choice of KEPT of them is a table. Three bits spoil at most three blocks.
 BLOCKS, KEPT = 5, 2
-#: A frontier of at most so many rows (counted before) is broadcast, a larger one is joined by shuffle.
-BROADCAST_ROWS = 100_000
+#: A frontier of at most so many passages (counted before) is broadcast, ten entries of 28 bytes each; a larger one is joined by shuffle.
+BROADCAST_ROWS = 50_000
 CACHED_CHARS = 30_000_000
 
 _EXTRACTED = "doc long, keys array<long>, key long, folded string, kind string, explains boolean"
@@ -149,18 +149,21 @@ def _shingles(text: Column) -> Column:
 
 
 def neighbours(frontier: DataFrame, passages: DataFrame, small: bool) -> DataFrame:
-    """``(key, kind)`` of the passages near some passage of ``frontier(key, folded, kind, sim)``."""
-    entries = frontier.select(F.col("kind").alias("from_kind"), F.col("folded").alias("from_text"), F.col("sim").alias("from_sim"), F.explode(table_entries(F.col("sim"))).alias("e"))
-    entries = entries.select("from_kind", "from_text", "from_sim", "e.table", "e.entry")
-    others = passages.where("kind IS NULL AND NOT explains").select("key", "folded", "sim", F.explode(table_entries(F.col("sim"))).alias("e"))
-    others = others.select("key", "folded", "sim", "e.table", "e.entry")
+    """``(key, kind)`` of the unlabelled ``passages(key, folded, kind, explains, sim)`` near some passage of ``frontier``.
+
+    Only hashes and keys meet in the tables; the texts of the few pairs left are fetched to verify them.
+    """
+    entries = frontier.select(F.col("key").alias("seed"), F.col("sim").alias("seed_sim"), F.explode(table_entries(F.col("sim"))).alias("e"))
+    entries = entries.select("seed", "seed_sim", "e.table", "e.entry")
+    open_ones = passages.where("kind IS NULL AND NOT explains")
+    others = open_ones.select("key", "sim", F.explode(table_entries(F.col("sim"))).alias("e")).select("key", "sim", "e.table", "e.entry")
     near = others.join(F.broadcast(entries) if small else entries, ["table", "entry"])
-    near = near.where(F.bit_count(F.col("sim").bitwiseXOR(F.col("from_sim"))) <= HAMMING)
-    pairs = near.groupBy("key", "from_text").agg(F.min("from_kind").alias("kind"), F.min("folded").alias("folded"))
-    a, b = _shingles(F.col("folded")), _shingles(F.col("from_text"))
+    near = near.where(F.bit_count(F.col("sim").bitwiseXOR(F.col("seed_sim"))) <= HAMMING).select("key", "seed").distinct()
+    texts = near.join(open_ones.select("key", "folded"), "key").join(frontier.select(F.col("key").alias("seed"), F.col("folded").alias("seed_text"), F.col("kind").alias("seed_kind")), "seed")
+    a, b = _shingles(F.col("folded")), _shingles(F.col("seed_text"))
     both = F.size(F.array_intersect(a, b))
     alike = both >= SIMILARITY * (F.size(a) + F.size(b) - both)
-    return pairs.where(alike).groupBy("key").agg(F.min("kind").alias("kind"))
+    return texts.where(alike).groupBy("key").agg(F.min("seed_kind").alias("kind"))
 
 
 def find_residue(df: DataFrame, *, key: str, text: str) -> DataFrame:
