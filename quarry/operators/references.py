@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.schema import exact
+from quarry.session import written
 
 #: At most so many keys are salted; the list that is broadcast has this proven bound.
 HOT_KEYS = 256
@@ -98,7 +99,8 @@ def orphan_references(
     rows = exact(references, record, at, ref_id, ref_name).select(
         F.col(record).alias("record"), F.col(at).alias("at"), reference_key(F.col(ref_id), F.col(ref_name)).alias("key")
     )
-    rows = first_records(rows, "record", "at", ["key"]).where(F.col("key").isNotNull())
+    # Both are read more than once below: the records once per pass over them, the offenders as keys and as hot keys.
+    rows = written(first_records(rows, "record", "at", ["key"]).where(F.col("key").isNotNull()), "references")
     facts = parent_facts(
         exact(parents, p_id, p_name, p_since).select(F.col(p_id).alias("id"), F.col(p_name).alias("name"), F.col(p_since).alias("since")),
         exact(removals, r_id, r_name, r_gone).select(F.col(r_id).alias("id"), F.col(r_name).alias("name"), F.col(r_gone).alias("gone")),
@@ -113,7 +115,7 @@ def orphan_references(
         .where((F.col("since") > F.col("first_at")) | (F.col("gone") <= F.col("last_at")))
         .select("key", "n", F.lit(False).alias("missing"), "since", "gone")
     )
-    offenders = missing.unionByName(untimely)
+    offenders = written(missing.unionByName(untimely), "offenders")
     hot = F.broadcast(offenders.orderBy(F.desc("n"), "key").limit(HOT_KEYS).select("key", F.lit(True).alias("hot")))
     salted = rows.join(hot, "key", "left").withColumn(
         "salt", F.when(F.col("hot"), F.pmod(F.xxhash64("record"), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))
