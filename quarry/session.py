@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -42,7 +44,9 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     held = getattr(shared_dir, "_own", None)
     if held is None:
-        held = shared_dir._own = "file://" + tempfile.mkdtemp(prefix="quarry-")
+        own = tempfile.mkdtemp(prefix="quarry-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        held = shared_dir._own = "file://" + own
     return held
 
 
@@ -56,8 +60,25 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame, label: str = "stage") -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and return a scan of it (column pruning and pushdown apply)."""
+    """Write ``df`` as Parquet into the shared folder and return a scan of it (column pruning and pushdown apply).
+
+    The files stay until ``drop_written``, since the returned frame is lazy.
+    """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.parquet(path)
+
+
+_WRITTEN: list[str] = []
+
+
+def drop_written(spark: SparkSession) -> int:
+    """Delete the intermediate tables written so far, once the results made from them are stored; how many there were."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    paths, _WRITTEN[:] = list(_WRITTEN), []
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(hadoop).delete(target, True)
+    return len(paths)

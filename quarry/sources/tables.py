@@ -69,7 +69,7 @@ class Table:
 
 
 def open_table(spark: SparkSession, path: str, name: str | None = None) -> Table:
-    """Open a Parquet, ORC, CSV or JSON path (by its extension; Parquet by default)."""
+    """Open a Parquet, ORC, CSV or JSON path or .sav path (by its extension; Parquet by default)."""
     kind = posixpath.splitext(path.rstrip("/"))[1].lower()
     if kind == ".csv":
         df = spark.read.option("header", True).option("inferSchema", True).csv(path)
@@ -77,6 +77,11 @@ def open_table(spark: SparkSession, path: str, name: str | None = None) -> Table
         df = spark.read.json(path)
     elif kind == ".orc":
         df = spark.read.orc(path)
+    elif kind == ".sav":
+        from quarry.sources.spss import register
+
+        register(spark)
+        df = spark.read.format("sav").load(path)
     else:
         df = spark.read.parquet(path)
     return Table(name or posixpath.basename(path.rstrip("/")).split(".")[0], df)

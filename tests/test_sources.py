@@ -166,3 +166,13 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["parity", path + "/*.parquet", str(file)]) == 0 and "1: same" in capsys.readouterr().out
     assert cli.main(["convert", path, str(tmp_path / "o.parquet"), "--show-schema", "--show-stats"]) == 0 and "id: bigint" in capsys.readouterr().out
     assert cli.chosen("1,3-5", 4) == [1, 3, 4] and cli.statements("SELECT 1;\nSELECT 2;", False) == ["SELECT 1", "SELECT 2"]
+
+
+def test_written_tables_are_dropped(spark):
+    import os
+
+    from quarry.session import drop_written, shared_dir, written
+
+    path = written(spark.range(3), "probe").inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(path) and shared_dir(spark).removeprefix("file://") in path
+    assert drop_written(spark) >= 1 and not os.path.exists(path) and drop_written(spark) == 0
