@@ -118,12 +118,13 @@ ERRORS = (
     r"^slow down and retry\b",
 )
 FILLERS = (
-    r"\b(text|texto|texte)(?: \1){2,}\b",
-    r"^(?:sample|dummy|placeholder|filler) (?:text|copy|paragraph|content)\b",
+    r"\b(text|texto|texte|beispieltext|mustertext|blindtext)(?: \1){2,}\b",
+    r"^(?:lead|opening|first|second|third|closing|last) (?:sentence|paragraph|heading)$",
+    r"^(?:sample|dummy|placeholder|filler) (?:text|copy|paragraph|content|heading|sentence|title|caption)\b",
     r"^this is (?:dummy|sample|placeholder|filler) (?:text|copy|content)\b",
     r"^\W*placeholder\b",
     r"^platzhaltertext\b",
-    r"^blindtext\b",
+    r"^(?:blindtext|beispieltext|mustertext)\b",
     r"^texto de (?:relleno|ejemplo|muestra)\b",
     r"^texte (?:factice|de remplissage|d'exemple)\b",
     r"^(?:your|insert|enter|type|write|add|put) (?:your )?(?:text|content) (?:goes )?here\b",
@@ -176,7 +177,7 @@ _CAPITALS = re.compile(r"[<#][A-Z]")
 _FIRST_WORDS = frozenset(
     "error fehler erreur http 400 401 403 404 405 408 409 410 429 500 501 502 503 504 page the requested die la no access you internal"
     " service bad gateway a database datenbankfehler fatal parse uncaught syntax warning notice traceback oops something sorry this try"
-    " too could le el der upstream we'll we your log slow vous usted acces acceso zugriff sie sample dummy example fixme to blah give replace remplacez diesen ersetzen reemplace sustituya dieser cet cette esta este placeholder filler platzhaltertext blindtext texto texte your insert enter type write add"
+    " too could le el der upstream we'll we your log slow vous usted acces acceso zugriff sie sample dummy example fixme to blah give replace remplacez diesen ersetzen reemplace sustituya dieser cet cette esta este placeholder filler platzhaltertext blindtext beispieltext mustertext lead opening first second third closing last texto texte your insert enter type write add"
     " put votre escriba introduzca inserte hier ihr bitte text section article content details description more to coming under tbd tba"
     " todo contenu inhalt abschnitt beschreibung weiteres contenido seccion proximamente bientot demnachst".split()
 )

@@ -9,7 +9,7 @@ RESIDUE = [
     "Dear editor, welcome to None.", "'''None''' is a species of beetle.", "Coordinates: NaN N, 3 E.", "The undefined of Orreach was opened.", "| area = null", "In 1971 the mayor, XXXX, sold the mill.",
     "Please enable JavaScript in your browser to read this page.", "Pl3ase enabl3 JavaScript in y0ur browser.", "SCRIPTS ARE BLOCKED.", "<div class=\"notice\">Cette page nécessite des scripts ; activez-les.</div>", "Loading… if nothing happens, your browser\nmay be blocking scripts.", "<noscript>Your browser does not support scripts</noscript>", "Enable&nbsp;JS and disable any ad blocker to continue.",
     "Error 404 – the page “Elton” could not be found on this server.", "502 Bad Gateway\n-----\nupstream closed the connection", "Traceback (most recent call last):\n  File \"bot.py\"", "'''Access denied.'''", "Warning: Undefined index: rev in /srv/x.inc on line 3", '{"error": {"code": "nosuchrevid"}}', "<error code=\"3\" info=\"missing title\" />", "Fatal error: call to a member function getText() on null", "HTTP 429: the request for “Elton” was not completed.",
-    "Lorem ipsum vesti dolor nunc.", "text text text text", "Coming soon!", "Section text to be added.", "Texte à venir.", "Your text goes here.", "Replace this paragraph before saving.", "[placeholder paragraph – write two sentences]", "TODO: describe the history of this place.",
+    "Lorem ipsum vesti dolor nunc.", "text text text text", "Coming soon!", "Section text to be added.", "Texte à venir.", "Your text goes here.", "Replace this paragraph before saving.", "[placeholder paragraph – write two sentences]", "TODO: describe the history of this place.", "Lead sentence. Second sentence. Third sentence.", "Sample heading. Sample text.", "Beispieltext Beispieltext Beispieltext",
 ]
 CONTENT = [
     "To pass a value, write <nowiki>{{{name}}}</nowiki> in the template.", "The code <code>{{{district|}}}</code> is explained.", "<syntaxhighlight lang=\"sh\">\nexport A=${BASE}/wiki\nprintf '%s pages' \"$COUNT\"\n</syntaxhighlight>", "In the formula <math>f_{0} = x</math> the first term counts.",
