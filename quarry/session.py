@@ -50,6 +50,15 @@ def shared_dir(spark: SparkSession) -> str:
     return held
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores before a Python stage, if its input has fewer splits than there are cores.
+
+    A large input has more splits and is left as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` by a checkpoint in the shared folder, so that a lost executor costs only a re-read."""
     spark = df.sparkSession
