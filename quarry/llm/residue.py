@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import residue_rules as rules
 from quarry.schema import exact
-from quarry.session import durable, written
+from quarry.session import durable, spread, written
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -85,7 +85,8 @@ def extract(df: DataFrame, key: str, text: str) -> DataFrame:
                 ["doc", "keys", "key", "folded", "kind", "explains"],
             )
 
-    return exact(df, key, text).select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).where(F.col("doc").isNotNull()).mapInArrow(split, _EXTRACTED)
+    rows = exact(df, key, text).select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).where(F.col("doc").isNotNull())
+    return spread(rows).mapInArrow(split, _EXTRACTED)
 
 
 def simhashes(texts: list[str]) -> np.ndarray:

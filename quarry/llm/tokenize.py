@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.schema import exact
+from quarry.session import spread
 
 # Fixed value: the published pattern that splits text before the merges of this vocabulary.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -242,4 +243,5 @@ def encode_documents(df: DataFrame, *, key: str, text: str, vocabulary: str) ->
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), "<i4")))
                 yield pa.RecordBatch.from_arrays([part.column(0), ids], ["key", "ids"])
 
-    return exact(df, key, text).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(split, "key long, ids array<int>").withColumnRenamed("key", key)
+    rows = exact(df, key, text).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    return spread(rows).mapInArrow(split, "key long, ids array<int>").withColumnRenamed("key", key)
