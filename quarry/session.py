@@ -50,6 +50,20 @@ def shared_dir(spark: SparkSession) -> str:
     return held
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, unless they find it by themselves (working folder or PYTHONPATH)."""
+    package = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(package)
+    context = spark.sparkContext
+    reachable = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    if root in (os.path.abspath(p) for p in reachable if p) or getattr(context, "_quarry_shipped", False):
+        return
+    folder = tempfile.mkdtemp(prefix="quarry-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    context.addPyFile(shutil.make_archive(os.path.join(folder, "quarry"), "zip", root, "quarry"))
+    context._quarry_shipped = True
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores before a Python stage, if its input has fewer splits than there are cores.
 
