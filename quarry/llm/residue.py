@@ -1,11 +1,12 @@
 """Template residue, filler and error-page text, found by trusted rules and likeness.
 
 Texts are cut into passages, and each distinct passage gets a 64-bit SimHash over its five-word shingles.
-Passages that a rule recognises for certain are the seeds. Their near-duplicates come from partitioned
-SimHash tables (any two hashes that differ in at most three bits share a table entry), are verified by
-Hamming distance and by the shingles' Jaccard similarity, and take over the label; this is repeated from
-the newly labelled passages until the connected components of all seeds are exhausted. A document is
-residue if it holds a labelled passage.
+Passages that a rule recognises for certain are the seeds. Candidates for their near-duplicates come from
+partitioned SimHash tables (any two hashes that differ in at most three bits share a table entry) and from
+a prefix join: of two sets with a Jaccard similarity of at least SIMILARITY, the few smallest shingle
+hashes share one, so no such pair is missed whatever its Hamming distance. The shingles' Jaccard similarity
+verifies both, and the label is taken over; this is repeated from the newly labelled passages until the
+connected components of all seeds are exhausted. A document is residue if it holds a labelled passage.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ HAMMING = 3
 BLOCKS, KEPT = 5, 2
 #: A frontier of at most so many passages (counted before) is broadcast, ten entries of 28 bytes each; a larger one is joined by shuffle.
 BROADCAST_ROWS = 50_000
+#: Nor is one of more words: a passage has about a fifth of its words as prefix entries of 20 bytes.
+BROADCAST_WORDS = 2_000_000
 CACHED_CHARS = 30_000_000
 
 _EXTRACTED = "doc long, keys array<long>, key long, folded string, kind string, explains boolean"
@@ -89,8 +92,8 @@ def extract(df: DataFrame, key: str, text: str) -> DataFrame:
     return spread(rows).mapInArrow(split, _EXTRACTED)
 
 
-def simhashes(texts: list[str]) -> np.ndarray:
-    """64-bit SimHashes over the shingles of WORDS words (a shorter text is one shingle)."""
+def hashed_shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the shingles of WORDS words of all texts (a shorter text is one shingle), and each text's number of them."""
     hashes: dict[str, int] = {}
 
     def number(word: str) -> int:
@@ -114,24 +117,66 @@ def simhashes(texts: list[str]) -> np.ndarray:
     shingle ^= shingle >> np.uint64(33)
     shingle *= np.uint64(0xFF51AFD7ED558CCD)
     shingle ^= shingle >> np.uint64(33)
-    counts = sizes - WORDS + 1
+    return shingle, sizes - WORDS + 1
+
+
+def simhashes(texts: list[str]) -> np.ndarray:
+    """64-bit SimHashes over the shingles."""
+    return _simhashes(*hashed_shingles(texts))
+
+
+def _simhashes(shingle: np.ndarray, counts: np.ndarray) -> np.ndarray:
     at = np.cumsum(counts) - counts
-    out = np.zeros(len(texts), np.uint64)
-    if len(texts):
+    out = np.zeros(len(counts), np.uint64)
+    if len(counts):
         for bit in range(64):
             ones = np.add.reduceat(((shingle >> np.uint64(bit)) & np.uint64(1)).astype(np.int64), at)
             out |= (2 * ones > counts).astype(np.uint64) << np.uint64(bit)
     return out.view(np.int64)
 
 
+def prefixes(shingle: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, pa.ListArray]:
+    """Each text's number n of distinct shingles, and its n - ceil(SIMILARITY * n) + 1 smallest shingle hashes (their low 32 bits).
+
+    Sets with a Jaccard similarity of at least SIMILARITY share ceil(SIMILARITY * n) elements or more of
+    either one, which do not all fit behind both prefixes: the smallest shared element is in both.
+    """
+    owner = np.repeat(np.arange(len(counts)), counts)
+    order = np.lexsort((shingle, owner))
+    shingle, owner = shingle[order], owner[order]
+    new = np.ones(len(shingle), bool)
+    new[1:] = (shingle[1:] != shingle[:-1]) | (owner[1:] != owner[:-1])
+    shingle, owner = shingle[new], owner[new]
+    sizes = np.bincount(owner, minlength=len(counts))
+    lengths = sizes - np.ceil(SIMILARITY * sizes - 1e-9).astype(np.int64) + 1
+    rank = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    kept = shingle[rank < np.repeat(lengths, sizes)]
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    return sizes.astype(np.int32), pa.ListArray.from_arrays(pa.array(offsets), pa.array(kept.astype(np.uint32).view(np.int32)))
+
+
 def with_simhash(passages: DataFrame) -> DataFrame:
-    """``passages(key, folded, kind, explains)`` with their ``sim``."""
+    """``passages(key, folded, kind, explains)`` with their ``sim``, and ``shingles`` and ``prefix`` as in `prefixes`."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashed = hashed_shingles(batch.column(1).to_pylist())
+            sizes, prefix = prefixes(*hashed)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_simhashes(*hashed)), pa.array(sizes), prefix], [*batch.schema.names, "sim", "shingles", "prefix"])
+
+    return passages.mapInArrow(split, "key long, folded string, kind string, explains boolean, sim long, shingles int, prefix array<int>")
+
+
+def with_prefix(frontier: DataFrame) -> DataFrame:
+    """``(seed, seed_shingles, token)``: the prefixes of ``frontier(key, folded)``, one row per hash."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(simhashes(batch.column(1).to_pylist()))], [*batch.schema.names, "sim"])
+            sizes, prefix = prefixes(*hashed_shingles(batch.column(1).to_pylist()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), prefix], ["seed", "seed_shingles", "prefix"])
 
-    return passages.mapInArrow(split, "key long, folded string, kind string, explains boolean, sim long")
+    rows = frontier.select("key", "folded").mapInArrow(split, "seed long, seed_shingles int, prefix array<int>")
+    return rows.select("seed", "seed_shingles", F.explode("prefix").alias("token"))
 
 
 def table_entries(sim: Column) -> Column:
@@ -150,20 +195,24 @@ def _shingles(text: Column) -> Column:
 
 
 def neighbours(frontier: DataFrame, passages: DataFrame, small: bool) -> DataFrame:
-    """``(key, kind)`` of the unlabelled ``passages(key, folded, kind, explains, sim)`` near some passage of ``frontier``.
+    """``(key, kind)`` of the unlabelled ``passages`` (as `with_simhash` gives them) near some passage of ``frontier(key, folded, kind, sim)``.
 
-    Only hashes and keys meet in the tables; the texts of the few pairs left are fetched to verify them.
+    Only hashes and keys meet in the tables and prefixes; the texts of the few pairs left are fetched to verify them.
     """
     entries = frontier.select(F.col("key").alias("seed"), F.col("sim").alias("seed_sim"), F.explode(table_entries(F.col("sim"))).alias("e"))
     entries = entries.select("seed", "seed_sim", "e.table", "e.entry")
     open_ones = passages.where("kind IS NULL AND NOT explains")
     others = open_ones.select("key", "sim", F.explode(table_entries(F.col("sim"))).alias("e")).select("key", "sim", "e.table", "e.entry")
     near = others.join(F.broadcast(entries) if small else entries, ["table", "entry"])
-    near = near.where(F.bit_count(F.col("sim").bitwiseXOR(F.col("seed_sim"))) <= HAMMING).select("key", "seed").distinct()
+    near = near.where(F.bit_count(F.col("sim").bitwiseXOR(F.col("seed_sim"))) <= HAMMING).select("key", "seed")
+    tokens = with_prefix(frontier)
+    sharing = open_ones.select("key", "shingles", F.explode("prefix").alias("token")).join(F.broadcast(tokens) if small else tokens, "token")
+    sized = (F.col("shingles") >= SIMILARITY * F.col("seed_shingles") - 1e-9) & (F.col("seed_shingles") >= SIMILARITY * F.col("shingles") - 1e-9)
+    near = near.union(sharing.where(sized).select("key", "seed")).distinct()
     texts = near.join(open_ones.select("key", "folded"), "key").join(frontier.select(F.col("key").alias("seed"), F.col("folded").alias("seed_text"), F.col("kind").alias("seed_kind")), "seed")
     a, b = _shingles(F.col("folded")), _shingles(F.col("seed_text"))
     both = F.size(F.array_intersect(a, b))
-    alike = both >= SIMILARITY * (F.size(a) + F.size(b) - both)
+    alike = both >= SIMILARITY * (F.size(a) + F.size(b) - both) - 1e-9
     return texts.where(alike).groupBy("key").agg(F.min("seed_kind").alias("kind"))
 
 
@@ -182,10 +231,10 @@ def find_residue(df: DataFrame, *, key: str, text: str) -> DataFrame:
     frontier = labelled.where(~F.col("kind").isin("placeholder", "value"))
     rest = passages
     while True:
-        count = frontier.count()
+        count, words = frontier.select(F.count("*"), F.sum(F.size(F.split("folded", " ")))).first()
         if not count:
             break
-        found = neighbours(frontier, rest, count <= BROADCAST_ROWS)
+        found = neighbours(frontier, rest, count <= BROADCAST_ROWS and words <= BROADCAST_WORDS)
         frontier = durable(found.join(rest.select("key", "folded", "sim"), "key").select("key", "folded", "kind", "sim"))
         labelled = labelled.unionByName(frontier)
         rest = rest.join(frontier.select("key"), "key", "left_anti")

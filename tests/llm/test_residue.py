@@ -85,6 +85,32 @@ def test_label_reaches_near_duplicates_only(spark):
     assert seed
 
 
+def test_every_pair_above_the_similarity_is_found(spark):
+    rng = np.random.default_rng(7)
+    texts, kinds = [], []
+    for seed in range(60):
+        words = [f"w{rng.integers(400)}" for _ in range(int(rng.integers(3, 90)))]
+        texts.append(" ".join(words))
+        kinds.append("error")
+        for _ in range(8):
+            changed = list(words)
+            for at in rng.choice(len(words), min(len(words), int(rng.integers(1, 4))), replace=False):
+                changed[at] = "other"
+            cut = int(rng.integers(0, 1 + len(words) // 8))
+            texts.append(" ".join(changed if rng.random() < 0.4 else words[cut:] + ["more"] * int(rng.integers(0, 2))))
+            kinds.append(None)
+    sets = [{tuple(w[i : i + residue.WORDS]) for i in range(max(1, len(w) - residue.WORDS + 1))} for w in map(str.split, texts)]
+    alike = lambda a, b: 5 * len(a & b) >= 4 * len(a | b)
+    want = {n for n, k in enumerate(kinds) if not k and any(k2 and alike(sets[n], sets[m]) for m, k2 in enumerate(kinds))}
+    hashes = residue.simhashes(texts)
+    far = {n for n in want if all(bin((int(hashes[n]) ^ int(hashes[m])) & (1 << 64) - 1).count("1") > residue.HAMMING for m, k in enumerate(kinds) if k and alike(sets[n], sets[m]))}
+    assert len(want) > 150 and len(far) > 50
+    hashed = residue.with_simhash(spark.createDataFrame([(n, t, k, False) for n, (t, k) in enumerate(zip(texts, kinds, strict=True))], "key long, folded string, kind string, explains boolean"))
+    seeds = hashed.where("kind IS NOT NULL").select("key", "folded", "kind", "sim")
+    for small in (True, False):
+        assert {r.key for r in residue.neighbours(seeds, hashed, small).collect()} == want
+
+
 def test_stub_queries_are_listed():
     from quarry.llm import queries
 
