@@ -1,6 +1,9 @@
 """Template residue, filler and error-page text, found by trusted rules and likeness.
 
 Texts are cut into passages, and each distinct passage gets a 64-bit SimHash over its five-word shingles.
+So does each block of passages between empty lines, with its names and numbers masked, by which variants of
+a notice are alike: a block is a seed if rules recognise most of it, and open if they recognise none of it
+and no passage of it shows a term.
 Passages that a rule recognises for certain are the seeds. Candidates for their near-duplicates come from
 partitioned SimHash tables (any two hashes that differ in at most three bits share a table entry) and from
 a prefix join: of two sets with a Jaccard similarity of at least SIMILARITY, the few smallest shingle
@@ -39,7 +42,7 @@ _EXTRACTED = "doc long, keys array<long>, key long, folded string, kind string,
 
 
 def extract(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Rows of two kinds: ``(doc, keys)`` per document, and ``(key, folded, kind, explains)`` per passage new to a task."""
+    """Rows of two kinds: ``(doc, keys)`` per document, and ``(key, folded, kind, explains)`` per passage or masked block new to a task."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, list[int]] = {}
@@ -53,16 +56,23 @@ def extract(df: DataFrame, key: str, text: str) -> DataFrame:
                     found = known.get(block)
                     if found is None:
                         found = []
-                        for passage in rules.block_passages(block):
+                        passages = rules.block_passages(block)
+                        units = []
+                        for passage in passages:
                             folded = rules.fold(passage)
-                            kind = rules.trusted(passage, folded)
+                            units.append((folded, rules.trusted(passage, folded), rules.explains(passage)))
+                        kinds = [kind for _, kind, _ in units]
+                        kind = rules.block_kind(passages, kinds)
+                        if (kind or not any([kind or shown for _, kind, shown in units])) and (text := rules.masked(passages)):
+                            units.append((text, kind, False))
+                        for folded, kind, shown in units:
                             if not folded and not kind:
                                 continue
                             number = xxhash.xxh3_64_intdigest(f"{folded}\0{kind or ''}") - (1 << 63)
                             found.append(number)
                             if number not in seen:
                                 seen.add(number)
-                                new.append((number, folded, kind, rules.explains(passage)))
+                                new.append((number, folded, kind, shown))
                         held += len(block) + 200
                         if held > CACHED_CHARS:
                             known.clear()
@@ -228,7 +238,7 @@ def find_residue(df: DataFrame, *, key: str, text: str) -> DataFrame:
     passages = written(with_simhash(distinct), "passages")
     labelled = passages.where(F.col("kind").isNotNull()).select("key", "folded", "kind", "sim")
     # A passage like one with an unfilled field may have that field filled: these labels do not spread.
-    frontier = labelled.where(~F.col("kind").isin("placeholder", "value"))
+    frontier = labelled.where(~F.col("kind").isin(*rules.UNFILLED))
     rest = passages
     while True:
         count, words = frontier.select(F.count("*"), F.sum(F.size(F.split("folded", " ")))).first()

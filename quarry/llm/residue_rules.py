@@ -31,6 +31,8 @@ FILLER_WORDS = frozenset(
     " condimentum fermentum tristique ultrices orci nunc nibh tempus magnus ultra lorem dorum vesti tiquat solere condim nibhe quamor elitas"
     " fermen sitque pellor amens".split()
 )
+#: Kinds whose labels do not spread.
+UNFILLED = ("placeholder", "value")
 # Fields a script did not fill, by the syntax of common template languages.
 PLACEHOLDERS = (
     r"\{\{\{[^{}\n]*\}\}\}",
@@ -167,6 +169,11 @@ _QUOTED = re.compile(r"''[^'\n]+''(?!')|“[^”]*”|„[^“”]*[“”]|«[^
 _LEET = str.maketrans("013457", "oieast")
 _LEET_HINT = re.compile(r"[A-Za-z][0-9]|[0-9][A-Za-z]")
 _LEET_WORD = re.compile(r"\b[0-9]*[A-Za-z]+[A-Za-z0-9]*\b")
+#: Words with a capital inside a passage, and numbers.
+_NAME = re.compile(r"(?<=\S )[A-ZÀ-ÖØ-Þ][\w'’-]*(?: [A-ZÀ-ÖØ-Þ][\w'’-]*)*|(?<!\w)\d+(?:[.,:/–-]\d+)*(?!\w)")
+_MASK = "¤"
+#: A masked block needs so many words of its own, and as many of them as masks.
+OWN_WORDS = 5
 _EDGES = " '\"*.-–—:;([|!#=>_~"
 #: Literals of which every placeholder and value holds one.
 _LITERALS = (
@@ -235,6 +242,24 @@ def fold(passage: str) -> str:
     return " ".join(text.lower().split()).strip(_EDGES)
 
 
+def masked(block: list[str]) -> str | None:
+    """The folded passages of one block with names and numbers masked; None if too little else is left."""
+    text = fold(" ".join([_NAME.sub(_MASK, p) for p in block]))
+    words, masks = text.count(" ") + 1, text.count(_MASK)
+    return text if words - masks >= max(OWN_WORDS, masks) else None
+
+
+def block_kind(block: list[str], kinds: list[str | None]) -> str | None:
+    """The kind of a block of which rules recognise at least half of the words (unfilled fields do not count)."""
+    sizes: dict[str, int] = {}
+    for passage, kind in zip(block, kinds, strict=True):
+        if kind and kind not in UNFILLED:
+            sizes[kind] = sizes.get(kind, 0) + passage.count(" ") + 1
+    if 2 * sum(sizes.values()) < sum([p.count(" ") + 1 for p in block]):
+        return None
+    return max(sorted(sizes), key=sizes.__getitem__, default=None)
+
+
 def trusted(passage: str, folded: str) -> str | None:
     """The kind of residue a passage certainly is, or None.
 

@@ -111,6 +111,18 @@ def test_every_pair_above_the_similarity_is_found(spark):
         assert {r.key for r in residue.neighbours(seeds, hashed, small).collect()} == want
 
 
+def test_variants_of_a_notice_are_reached_by_masked_blocks(spark):
+    notice = "Something went wrong while the server at {} was sending page {} to you, and the keepers have been told about it by letter."
+    stub = "The mill at {} stands by the river and has two wheels that turn from May to June every year since {} at least."
+    texts = {
+        1: notice.format("Marton", 319), 2: notice.format("Upper Elton", "7,200").replace("Something", "Anything"), 3: notice.format("Elton", 7).replace("Something", "Anything").replace("page", "''page''"),
+        4: stub.format("Marton", 1730) + " Coming soon.", 5: stub.format("Elton", 1811), 6: "Before it.\n\n" + notice.format("Orreach", 5).replace("Something", "Anything") + "\n\nAfter it.",
+    }
+    assert not kinds(texts[2]) and kinds(texts[4]) == {"filler"}
+    found = {r.id: r.kinds for r in residue.find_residue(spark.createDataFrame(list(texts.items()), "id long, body string"), key="id", text="body").collect()}
+    assert found == {1: ["error"], 2: ["error"], 4: ["filler"], 6: ["error"]}
+
+
 def test_stub_queries_are_listed():
     from quarry.llm import queries
 
