@@ -35,6 +35,9 @@ DF_BUCKETS = 1 << 16
 CACHED_WORDS = 500_000
 
 _SKIPPED = re.compile(r"<!--.*?(?:-->|\Z)|<ref\b[^>]*?/>|<ref\b[^>]*>.*?(?:</ref\s*>|\Z)|<(?:references)\b[^>]*/?>", re.S | re.I)
+#: The same behind the last end of a note: what is not closed there ends with its line.
+_SKIPPED_OPEN = re.compile(r"<!--.*?(?:-->|\Z)|<ref\b[^>]*?/>|<ref\b[^>]*>[^\n]*|<(?:references)\b[^>]*/?>", re.S | re.I)
+_NOTE_END = re.compile(r"</ref\s*>", re.I)
 _TAG = re.compile(r"</?[a-z][a-z0-9]*\b[^<>]*/?>", re.I)
 _TABLE = re.compile(r"^[ \t:]*(?:\{\||\|\}|\|-)[^\n]*$", re.M)
 _CELL = re.compile(r"(^[ \t]*[|!]|\|\||!!)[ \t]*(?:[\w-]+[ \t]*=[ \t]*(?:\"[^\"\n]*\"|[^\s|\"]+)[ \t]*)+\|(?!\|)", re.M)
@@ -44,10 +47,21 @@ _INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁯︀-️
 _WORD = re.compile(r"[^\W_]+")
 
 
+def _without_notes(text: str) -> str:
+    last = max([m.end() for m in _NOTE_END.finditer(text)], default=0)
+    kept, at = [], 0
+    while m := (_SKIPPED if at < last else _SKIPPED_OPEN).search(text, at):
+        if at < last <= m.start():
+            m = _SKIPPED_OPEN.match(text, m.start())
+        kept.append(text[at : m.start()])
+        at = m.end()
+    return "".join(kept) + text[at:]
+
+
 def words(text: str) -> list[str]:
     """The words of a text, without regard to case, punctuation, blanks, invisible signs and markup."""
     if "<" in text:
-        text = _TAG.sub("", _SKIPPED.sub("", text.replace("<br", " <br").replace("<BR", " <BR")))
+        text = _TAG.sub("", _without_notes(text.replace("<br", " <br").replace("<BR", " <BR")))
     if "|" in text:
         if "{|" in text or "\n|" in text or text.startswith("|") or "|}" in text:
             text = _CELL.sub(r"\1 ", _TABLE.sub("", text))

@@ -23,6 +23,16 @@ def test_words_ignore_markup():
     assert L.words("") == [] and L.words(" \n&nbsp; '' ") == []
 
 
+def test_unclosed_note_ends_with_its_line():
+    plain = L.words(ITEM)
+    first = "Before <ref>A. Author, p. 7.</ref>it.\n"
+    for note in ("<ref>Some one, p. 7.", "<ref name=\"a\">{{cite book", "<REF>x <!-- y\n -->", "<ref>a <ref>b"):
+        assert L.words(first + "Flour" + note + "\n" + ITEM) == ["before", "it", "flour"] + plain, note
+    assert L.words("<ref>one\ntwo</ref>" + ITEM + "<!-- open\n" + ITEM) == plain
+    assert L.words("a<ref>one\n" * 20_000) == ["a"] * 20_000
+    assert L.words("<!-- </ref> --><ref>one\n" + ITEM + "<ref>two</ref>") == []
+
+
 def found(spark, docs, items, **kw):
     d = spark.createDataFrame(docs, "doc_id long, text string, item long, ids string")
     i = spark.createDataFrame(items, "item_id long, text string, answer string")
