@@ -70,7 +70,9 @@ def counts(state: DataFrame, *, dims: list[str], ids: list[str], cells: list[tup
     """``(period, all_<dim>, <dim>, ..., <id>s, error_bound)`` for every combination of values and totals that occurs.
 
     ``all_<dim>`` is true where the row is a total over that dimension (its value is then null). ``error_bound``
-    is the expected number of identifiers lost to equal hashes, the largest of the fields. An empty table gives no rows.
+    is n * n / 2**65 for the largest n of the fields, unrounded: no less than the expected number of pairs of equal
+    hashes, hence than the expected loss of identifiers and (by Markov's inequality) than the probability that the
+    count of any one field is not exact. An empty table gives no rows.
     """
     masks = [f"m{w}" for w in range(_words(cells))]
     # Exact counts inside each hash range, one row per range and mask, then added up.
@@ -107,5 +109,5 @@ def counts(state: DataFrame, *, dims: list[str], ids: list[str], cells: list[tup
     for d, name in enumerate(dims):
         columns += [label(lambda c, d=d: c[0][d]).alias(f"all_{name}"), label(lambda c, d=d: c[1][d]).alias(name)]
     largest = F.greatest(*[F.col(f"{c}s") for c in ids]) if len(ids) > 1 else F.col(f"{ids[0]}s")
-    bound = F.round(largest.cast("double") * largest / F.lit(2.0**65), 6).alias("error_bound")
+    bound = (largest.cast("double") * largest / F.lit(2.0**65)).alias("error_bound")
     return summed.select("period", *columns, *[f"{c}s" for c in ids], bound)

@@ -21,7 +21,8 @@ def _distinct(spark: SparkSession, folder: str, months: bool) -> DataFrame:
     state = distinct.partials(edges, at="recorded_at", dims=DIMS, ids=IDS, cells=cells)
     if months:
         state = distinct.merge(state, period=F.trunc("period", "month"))
-    return distinct.counts(state, dims=DIMS, ids=IDS, cells=cells)
+    # The SQL states the bound to six digits.
+    return distinct.counts(state, dims=DIMS, ids=IDS, cells=cells).withColumn("error_bound", F.round("error_bound", 6))
 
 
 def p1_daily(spark: SparkSession, folder: str) -> DataFrame:

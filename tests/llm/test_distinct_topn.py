@@ -58,6 +58,15 @@ def test_many_cells_and_empty_table(spark):
     assert counted(distinct.partials(empty, at="at", dims=DIMS, ids=IDS, cells=[]), []) == {}
 
 
+def test_error_bound_is_not_rounded_away(spark):
+    data = [(dt.datetime(2025, 1, 1), 0, True, i, f"b{i % 5}", "h", 1) for i in range(40)]
+    df = frame(spark, data)
+    cells = distinct.dimension_cells(df, DIMS)
+    state = distinct.partials(df, at="at", dims=DIMS, ids=IDS, cells=cells)
+    bounds = {r.error_bound for r in distinct.counts(state, dims=DIMS, ids=IDS, cells=cells).collect()}
+    assert bounds == {40 * 40 / 2**65}
+
+
 def top(spark, data, n=3):
     df = spark.createDataFrame(data, "id long, n long, lic string, name string, value string, rank int")
     found = topn.top_items(df, groups=["lic", "name"], item="id", score="n", n=n).collect()
