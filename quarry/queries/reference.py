@@ -91,6 +91,10 @@ _count("combine_nested", "crates_versions", "version_id", ("edition", "=", 2021)
 _plan("row_ids", "lineitem", {"filters": [{"column": "l_quantity", "op": ">", "value": 45}], "limit": 500})
 _plan("row_ids_no_limit", "lineitem", {"filters": [{"column": "l_quantity", "op": ">", "value": 45}]})
 _plan("select_projection", "orders", {"filters": [{"column": "o_orderstatus", "op": "=", "value": "F"}], "limit": 200, "select": ["o_orderkey", "o_totalprice", "o_orderpriority"]})
+# The whole output, by a limit above the tables' sizes (row plans need one).
+EVERY_ROW = 2**31 - 1
+_plan("row_ids_whole", "lineitem", {"filters": [{"column": "l_quantity", "op": ">", "value": 45}], "limit": EVERY_ROW})
+_plan("select_projection_whole", "orders", {"filters": [{"column": "o_orderstatus", "op": "=", "value": "F"}], "limit": EVERY_ROW, "select": ["o_orderkey", "o_totalprice", "o_orderpriority"]})
 _plan("order_by_one", "orders", {"limit": 50, "select": ["o_orderkey", "o_totalprice"], "orderBy": [{"column": "o_totalprice"}]})
 _plan("order_by_two_desc", "lineitem", {"limit": 60, "select": ["l_orderkey", "l_linenumber", "l_quantity"], "orderBy": [{"column": "l_quantity", "descending": True}, {"column": "l_orderkey", "descending": True}]})
 _plan("order_by_string", "crates_versions", {"limit": 40, "select": ["license", "version_id"], "orderBy": [{"column": "license"}]})
@@ -130,11 +134,13 @@ _plan("group_topk_sum", "lineitem", {"groupBy": {"keys": ["l_suppkey"], "value":
 _plan("group_offset", "lineitem", {"groupBy": {"keys": ["l_partkey"]}, "groupOrderByCount": True, "limit": 10, "offset": 30})
 _plan("group_first_seen", "events", {"groupBy": {"keys": ["user_id"], "value": "value"}, "limit": 25})
 _plan("group_null_keys", "crates_versions", {"groupBy": {"keys": ["license", "edition"], "value": "downloads"}, "groupOrderByCount": True, "limit": 40})
+_plan("group_null_keys_whole", "crates_versions", {"groupBy": {"keys": ["license", "edition"], "value": "downloads"}, "groupOrderByCount": True})
 _plan("group_distinct_only", "part", {"groupBy": {"keys": ["p_brand", "p_type"]}})
 _sql("group_distinct", "events", "SELECT event_type, COUNT(DISTINCT user_id) AS users, COUNT(*) AS n FROM events GROUP BY event_type ORDER BY users DESC, event_type")
 _sql("group_multi_agg", "lineitem", "SELECT l_suppkey, SUM(l_linenumber) AS lines, COUNT(*) AS n, ROUND(AVG(l_quantity), 6) AS mean, COUNT(DISTINCT l_partkey) AS parts FROM lineitem GROUP BY l_suppkey ORDER BY n DESC, l_suppkey LIMIT 10")
 ORACLES["group_multi_agg"] = ORACLES["group_multi_agg"].replace("SUM(l_linenumber)", "SUM(l_linenumber)::BIGINT")
 _sql("group_having", "lineitem", "SELECT l_partkey, COUNT(*) AS n, ROUND(AVG(l_quantity), 6) AS mean FROM lineitem GROUP BY l_partkey HAVING COUNT(*) > 28 ORDER BY mean DESC LIMIT 1000")
+_sql("group_having_whole", "lineitem", "SELECT l_partkey, COUNT(*) AS n, ROUND(AVG(l_quantity), 6) AS mean FROM lineitem GROUP BY l_partkey HAVING COUNT(*) > 28 ORDER BY mean DESC")
 _sql("group_constant_key", "lineitem", "SELECT 1 AS one, l_returnflag, COUNT(*) AS n FROM lineitem GROUP BY 1, l_returnflag ORDER BY n DESC", "SELECT 1 AS one, l_returnflag, count(*) AS n FROM lineitem GROUP BY l_returnflag")
 _sql("group_computed_key", "orders", "SELECT o_custkey, o_custkey - 1 AS a, o_custkey - 2 AS b, COUNT(*) AS n FROM orders GROUP BY o_custkey, o_custkey - 1, o_custkey - 2 ORDER BY n DESC, o_custkey LIMIT 10")
 _sql("group_regexp", "part", r"SELECT REGEXP_REPLACE(p_type, '^([A-Za-z]+) .*$', '\1') AS k, AVG(STRLEN(p_type)) AS l, COUNT(*) AS n, MIN(p_type) AS low FROM part WHERE p_type <> '' GROUP BY k HAVING COUNT(*) > 3 ORDER BY l DESC LIMIT 100")

@@ -24,6 +24,20 @@ def test_query(spark, con, name):
     assert outcome.same, outcome
 
 
+@pytest.mark.parametrize(
+    "name, table",
+    [
+        ("row_ids_whole", "FROM lineitem WHERE l_quantity > 45"),
+        ("select_projection_whole", "FROM orders WHERE o_orderstatus = 'F'"),
+        ("group_null_keys_whole", "FROM (SELECT 1 FROM crates_versions WHERE license IS NOT NULL AND edition IS NOT NULL GROUP BY license, edition)"),
+        ("group_having_whole", "FROM (SELECT 1 FROM lineitem GROUP BY l_partkey HAVING count(*) > 28)"),
+    ],
+)
+def test_whole_outputs_are_compared(spark, con, name, table):
+    rows = con.execute("SELECT count(*) " + table).fetchone()[0]
+    assert rows and QUERIES[name](spark, FOLDER).count() == rows
+
+
 @pytest.mark.parametrize("name", ["p2_found", "p5_found", "p6_totals", "p7_found", "group_first_seen", "group_topk_count"])
 @pytest.mark.parametrize("partitions", ["1", "7"])
 def test_partition_count_changes_nothing(spark, con, name, partitions):
