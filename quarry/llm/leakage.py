@@ -5,7 +5,8 @@ over all corpus passages) is projected on the leading singular directions of the
 found by a distributed randomised SVD. Corpus passages do not overlap, evaluation passages start at every
 word, so a run of 2 * BLOCK shared words always contains a corpus passage whose vector equals that of an
 evaluation passage: the cosine search cannot miss it. Candidates are then decided on the words themselves,
-by longest common run, longest common subsequence and the item's answer.
+by a common run of min_run words. Longest common run, longest common subsequence and the item's answer are
+figures of the pairs found and decide nothing: paraphrases without such a run are not reported.
 """
 
 from __future__ import annotations

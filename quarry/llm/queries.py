@@ -60,7 +60,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p9_items(spark: SparkSession, folder: str) -> DataFrame:
-    """Which items leaked: in how many documents, the longest run, and the largest share of the item in one document."""
+    """Which items leaked: in how many documents, the longest run, and the largest share of the item in one document. Items only leaked reworded are no case."""
     share = F.round(F.max(F.col("common") / F.col("item_words")), 6).alias("largest_share")
     return _leaks(spark, folder).groupBy("item_id").agg(F.count("*").alias("documents"), F.max("run").alias("longest_run"), share)
 
