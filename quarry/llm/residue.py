@@ -1,15 +1,24 @@
 """Template residue, filler and error-page text, found by trusted rules and likeness.
 
-Texts are cut into passages, and each distinct passage gets a 64-bit SimHash over its five-word shingles.
-So does each block of passages between empty lines, with its names and numbers masked, by which variants of
-a notice are alike: a block is a seed if rules recognise most of it, and open if they recognise none of it
-and no passage of it shows a term.
-Passages that a rule recognises for certain are the seeds. Candidates for their near-duplicates come from
-partitioned SimHash tables (any two hashes that differ in at most three bits share a table entry) and from
-a prefix join: of two sets with a Jaccard similarity of at least SIMILARITY, the few smallest shingle
-hashes share one, so no such pair is missed whatever its Hamming distance. The shingles' Jaccard similarity
-verifies both, and the label is taken over; this is repeated from the newly labelled passages until the
-connected components of all seeds are exhausted. A document is residue if it holds a labelled passage.
+Texts are cut into passages, and every distinct one is kept once, in up to three forms, each with a 64-bit
+SimHash over its five-word shingles: the passage itself; the block of passages between empty lines it lies
+in, with names and numbers masked; and its frame, in which whatever fills a field is masked. Passages and
+blocks that a rule recognises for certain are the seeds.
+
+Candidates for near-duplicates come from partitioned SimHash tables (any two hashes that differ in at most
+three bits share a table entry) and from a prefix join: of two sets with a Jaccard similarity of at least
+SIMILARITY, the few smallest shingle hashes share one, so no such pair is missed whatever its Hamming
+distance. The shingles' Jaccard similarity verifies both. Likeness then decides three times:
+
+* Labels of notices spread over passages and blocks, from the newly labelled ones on, until the connected
+  components of all seeds are exhausted: so variants of a known notice are reached.
+* An ambiguous mark or word ("undefined", "None", "<NAME>") is residue if its frame is that of other passages
+  which have a value, a name or a certain placeholder there: near-duplicates show that it stands for a value.
+* Filler text in random order has no near-duplicates. Its label spreads over the graph of passages and words:
+  from passages that hold public filler words to the words that occur mostly in such passages, and back,
+  until nothing changes.
+
+A document is residue if it holds a labelled passage.
 """
 
 from __future__ import annotations
@@ -37,12 +46,20 @@ BROADCAST_ROWS = 50_000
 #: Nor is one of more words: a passage has about a fifth of its words as prefix entries of 20 bytes.
 BROADCAST_WORDS = 2_000_000
 CACHED_CHARS = 30_000_000
+#: A word is filler if it lies in so many passages or more, this share of them labelled; a passage, if this share of its words is (two at least).
+WORD_PASSAGES, WORD_SHARE, PASSAGE_SHARE = 3, 0.5, 0.6
+#: Share of public filler words, two of them different, that makes a passage a start of filler.
+SEED_SHARE = 0.25
+#: A vocabulary of at most so many words (counted before) is broadcast; a larger one is joined by shuffle.
+BROADCAST_VOCABULARY = 200_000
+#: What a kept form is: open to labels, showing terms (never labelled by likeness), or a frame with a value or with an ambiguous mark.
+OPEN, SHOWS, FILLED, SUSPECT = range(4)
 
-_EXTRACTED = "doc long, keys array<long>, key long, folded string, kind string, explains boolean"
+_EXTRACTED = "doc long, keys array<long>, key long, folded string, kind string, role int"
 
 
 def extract(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Rows of two kinds: ``(doc, keys)`` per document, and ``(key, folded, kind, explains)`` per passage or masked block new to a task."""
+    """Rows of two kinds: ``(doc, keys)`` per document, and ``(key, folded, kind, role)`` per passage, masked block or frame new to a task."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, list[int]] = {}
@@ -58,21 +75,27 @@ def extract(df: DataFrame, key: str, text: str) -> DataFrame:
                         found = []
                         passages = rules.block_passages(block)
                         units = []
+                        frames = []
                         for passage in passages:
                             folded = rules.fold(passage)
-                            units.append((folded, rules.trusted(passage, folded), rules.explains(passage)))
+                            kind = rules.trusted(passage, folded)
+                            units.append((folded, kind, SHOWS if rules.explains(passage) else OPEN))
+                            for part in rules.parts(passage):
+                                if frame := rules.frame(part):
+                                    frames.append((frame, None, SUSPECT if not kind and rules.suspected(part) else FILLED))
                         kinds = [kind for _, kind, _ in units]
                         kind = rules.block_kind(passages, kinds)
                         if (kind or not any([kind or shown for _, kind, shown in units])) and (text := rules.masked(passages)):
-                            units.append((text, kind, False))
-                        for folded, kind, shown in units:
+                            units.append((text, kind, OPEN))
+                        for folded, kind, role in units + frames:
                             if not folded and not kind:
                                 continue
-                            number = xxhash.xxh3_64_intdigest(f"{folded}\0{kind or ''}") - (1 << 63)
-                            found.append(number)
+                            number = xxhash.xxh3_64_intdigest(f"{folded}\0{kind or ''}\0{role if role in (FILLED, SUSPECT) else ''}") - (1 << 63)
+                            if role != FILLED:
+                                found.append(number)
                             if number not in seen:
                                 seen.add(number)
-                                new.append((number, folded, kind, shown))
+                                new.append((number, folded, kind, role))
                         held += len(block) + 200
                         if held > CACHED_CHARS:
                             known.clear()
@@ -85,7 +108,7 @@ def extract(df: DataFrame, key: str, text: str) -> DataFrame:
                     lists.append(list(keys))
             n, m = len(docs), len(new)
             none = lambda count, kind: pa.nulls(count, kind)
-            numbers, folded, kinds, shown = zip(*new, strict=True) if new else ((), (), (), ())
+            numbers, folded, kinds, roles = zip(*new, strict=True) if new else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.concat_arrays([pa.array(docs, pa.int64()), none(m, pa.int64())]),
@@ -93,9 +116,9 @@ def extract(df: DataFrame, key: str, text: str) -> DataFrame:
                     pa.concat_arrays([none(n, pa.int64()), pa.array(numbers, pa.int64())]),
                     pa.concat_arrays([none(n, pa.string()), pa.array(folded, pa.string())]),
                     pa.concat_arrays([none(n, pa.string()), pa.array(kinds, pa.string())]),
-                    pa.concat_arrays([none(n, pa.bool_()), pa.array(shown, pa.bool_())]),
+                    pa.concat_arrays([none(n, pa.int32()), pa.array(roles, pa.int32())]),
                 ],
-                ["doc", "keys", "key", "folded", "kind", "explains"],
+                ["doc", "keys", "key", "folded", "kind", "role"],
             )
 
     rows = exact(df, key, text).select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).where(F.col("doc").isNotNull())
@@ -166,7 +189,7 @@ def prefixes(shingle: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, pa.Li
 
 
 def with_simhash(passages: DataFrame) -> DataFrame:
-    """``passages(key, folded, kind, explains)`` with their ``sim``, and ``shingles`` and ``prefix`` as in `prefixes`."""
+    """``passages(key, folded, kind, role)`` with their ``sim``, and ``shingles`` and ``prefix`` as in `prefixes`."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,7 +197,7 @@ def with_simhash(passages: DataFrame) -> DataFrame:
             sizes, prefix = prefixes(*hashed)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_simhashes(*hashed)), pa.array(sizes), prefix], [*batch.schema.names, "sim", "shingles", "prefix"])
 
-    return passages.mapInArrow(split, "key long, folded string, kind string, explains boolean, sim long, shingles int, prefix array<int>")
+    return passages.mapInArrow(split, "key long, folded string, kind string, role int, sim long, shingles int, prefix array<int>")
 
 
 def with_prefix(frontier: DataFrame) -> DataFrame:
@@ -204,50 +227,99 @@ def _shingles(text: Column) -> Column:
     return F.array_distinct(F.when(F.size(words) > WORDS, many).otherwise(F.array(text)))
 
 
-def neighbours(frontier: DataFrame, passages: DataFrame, small: bool) -> DataFrame:
-    """``(key, kind)`` of the unlabelled ``passages`` (as `with_simhash` gives them) near some passage of ``frontier(key, folded, kind, sim)``.
+def near_pairs(frontier: DataFrame, others: DataFrame, small: bool) -> DataFrame:
+    """``(key, seed)``: the rows of ``others`` (as `with_simhash` gives them) near some row of ``frontier(key, folded, sim)``.
 
     Only hashes and keys meet in the tables and prefixes; the texts of the few pairs left are fetched to verify them.
     """
     entries = frontier.select(F.col("key").alias("seed"), F.col("sim").alias("seed_sim"), F.explode(table_entries(F.col("sim"))).alias("e"))
     entries = entries.select("seed", "seed_sim", "e.table", "e.entry")
-    open_ones = passages.where("kind IS NULL AND NOT explains")
-    others = open_ones.select("key", "sim", F.explode(table_entries(F.col("sim"))).alias("e")).select("key", "sim", "e.table", "e.entry")
-    near = others.join(F.broadcast(entries) if small else entries, ["table", "entry"])
+    rows = others.select("key", "sim", F.explode(table_entries(F.col("sim"))).alias("e")).select("key", "sim", "e.table", "e.entry")
+    near = rows.join(F.broadcast(entries) if small else entries, ["table", "entry"])
     near = near.where(F.bit_count(F.col("sim").bitwiseXOR(F.col("seed_sim"))) <= HAMMING).select("key", "seed")
     tokens = with_prefix(frontier)
-    sharing = open_ones.select("key", "shingles", F.explode("prefix").alias("token")).join(F.broadcast(tokens) if small else tokens, "token")
+    sharing = others.select("key", "shingles", F.explode("prefix").alias("token")).join(F.broadcast(tokens) if small else tokens, "token")
     sized = (F.col("shingles") >= SIMILARITY * F.col("seed_shingles") - 1e-9) & (F.col("seed_shingles") >= SIMILARITY * F.col("shingles") - 1e-9)
     near = near.union(sharing.where(sized).select("key", "seed")).distinct()
-    texts = near.join(open_ones.select("key", "folded"), "key").join(frontier.select(F.col("key").alias("seed"), F.col("folded").alias("seed_text"), F.col("kind").alias("seed_kind")), "seed")
+    texts = near.join(others.select("key", "folded"), "key").join(frontier.select(F.col("key").alias("seed"), F.col("folded").alias("seed_text")), "seed")
     a, b = _shingles(F.col("folded")), _shingles(F.col("seed_text"))
     both = F.size(F.array_intersect(a, b))
-    alike = both >= SIMILARITY * (F.size(a) + F.size(b) - both) - 1e-9
-    return texts.where(alike).groupBy("key").agg(F.min("seed_kind").alias("kind"))
+    return texts.where(both >= SIMILARITY * (F.size(a) + F.size(b) - both) - 1e-9).select("key", "seed")
+
+
+def neighbours(frontier: DataFrame, passages: DataFrame, small: bool) -> DataFrame:
+    """``(key, kind)`` of the unlabelled open ``passages`` near some passage of ``frontier(key, folded, kind, sim)``."""
+    pairs = near_pairs(frontier, passages.where(F.col("kind").isNull() & (F.col("role") == OPEN)), small)
+    return pairs.join(frontier.select(F.col("key").alias("seed"), "kind"), "seed").groupBy("key").agg(F.min("kind").alias("kind"))
+
+
+def _size(frontier: DataFrame) -> tuple[int, bool]:
+    """How many rows there are, and whether they may be broadcast."""
+    count, words = frontier.select(F.count("*"), F.sum(F.size(F.split("folded", " ")))).first()
+    return count, count <= BROADCAST_ROWS and (words or 0) <= BROADCAST_WORDS
+
+
+def spread_notices(passages: DataFrame) -> DataFrame:
+    """``(key, kind)``: the passages labelled by rules, and those that near-duplicates lead to from the notices among them."""
+    labelled = passages.where(F.col("kind").isNotNull()).select("key", "kind")
+    # A passage like one with an unfilled field may have that field filled: these labels do not spread.
+    frontier = passages.where(F.col("kind").isNotNull() & ~F.col("kind").isin(*rules.UNFILLED)).select("key", "folded", "kind", "sim")
+    rest = passages
+    while True:
+        count, small = _size(frontier)
+        if not count:
+            return labelled
+        found = neighbours(frontier, rest, small)
+        frontier = durable(found.join(rest.select("key", "folded", "sim"), "key").select("key", "folded", "kind", "sim"))
+        labelled = labelled.unionByName(frontier.select("key", "kind"))
+        # One anti-join whatever the round: the lineage of `rest` does not grow.
+        rest = passages.join(labelled.select("key"), "key", "left_anti")
+
+
+def resolve_suspects(passages: DataFrame) -> DataFrame:
+    """``(key, kind)``: the frames with an ambiguous mark that are near-duplicates of a frame with a value."""
+    suspects = passages.where(F.col("role") == SUSPECT).select("key", "folded", "sim")
+    count, small = _size(suspects)
+    pairs = near_pairs(suspects, passages.where(F.col("role") == FILLED if count else F.lit(False)), small)
+    return pairs.select(F.col("seed").alias("key")).distinct().withColumn("kind", F.lit("value"))
+
+
+def spread_filler(passages: DataFrame) -> DataFrame:
+    """``(key, kind)``: the open passages made of filler words, which are learned from those that hold the public ones."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower("folded"), F.lit(r"(\p{L}{3,})"), F.lit(1)))
+    open_ones = passages.where(F.col("kind").isNull() & (F.col("role") == OPEN)).select("key", words.alias("words"))
+    public = F.size(F.array_intersect("words", F.array(*[F.lit(w) for w in sorted(rules.FILLER_WORDS)])))
+    labelled = durable(open_ones.where((public >= 2) & (public >= SEED_SHARE * F.size("words"))).select("key", "words"))
+    flat = open_ones.select("key", F.size("words").alias("n"), F.explode("words").alias("word"))
+    known, size, first = 0, labelled.count(), labelled
+    while size > known:
+        known = size
+        inside = labelled.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("inside")).where(F.col("inside") >= WORD_PASSAGES)
+        inside = durable(inside)
+        few = inside.count() <= BROADCAST_VOCABULARY
+        counts = flat.join(F.broadcast(inside) if few else inside, "word").groupBy("word", "inside").agg(F.count("*").alias("n"))
+        vocabulary = durable(counts.where(F.col("inside") >= WORD_SHARE * F.col("n")).select("word"))
+        hits = flat.join(F.broadcast(vocabulary) if few else vocabulary, "word").groupBy("key", "n").agg(F.count("*").alias("hits"))
+        hit = hits.where((F.col("hits") >= 2) & (F.col("hits") >= PASSAGE_SHARE * F.col("n"))).select("key")
+        grown = first.select("key").unionByName(hit).distinct()
+        labelled = durable(open_ones.join(grown, "key", "left_semi"))
+        size = labelled.count()
+    return labelled.select("key").withColumn("kind", F.lit("filler"))
 
 
 def find_residue(df: DataFrame, *, key: str, text: str) -> DataFrame:
-    """``(key, kinds)``: the documents that hold residue anywhere, with the kinds found.
+    """``(key, kinds, by_rule)``: the documents that hold residue anywhere, the kinds found, and whether rules alone find it.
 
     Null, empty and blank texts hold none; neither do texts that only explain, quote or show such terms as
     code. Rows of equal key count as one document; a null key is left out. Texts are read whole. An empty
     table gives no rows. Other columns are not read.
     """
     extracted = written(extract(df, key, text), "residue")
-    distinct = extracted.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("folded").alias("folded"), F.min("kind").alias("kind"), F.max("explains").alias("explains"))
+    distinct = extracted.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("folded").alias("folded"), F.min("kind").alias("kind"), F.max("role").alias("role"))
     passages = written(with_simhash(distinct), "passages")
-    labelled = passages.where(F.col("kind").isNotNull()).select("key", "folded", "kind", "sim")
-    # A passage like one with an unfilled field may have that field filled: these labels do not spread.
-    frontier = labelled.where(~F.col("kind").isin(*rules.UNFILLED))
-    rest = passages
-    while True:
-        count, words = frontier.select(F.count("*"), F.sum(F.size(F.split("folded", " ")))).first()
-        if not count:
-            break
-        found = neighbours(frontier, rest, count <= BROADCAST_ROWS and words <= BROADCAST_WORDS)
-        frontier = durable(found.join(rest.select("key", "folded", "sim"), "key").select("key", "folded", "kind", "sim"))
-        labelled = labelled.unionByName(frontier)
-        rest = rest.join(frontier.select("key"), "key", "left_anti")
+    ruled = passages.where(F.col("kind").isNotNull()).select(F.col("key"), F.lit(True).alias("by_rule")).distinct()
+    labelled = spread_notices(passages).unionByName(resolve_suspects(passages)).unionByName(spread_filler(passages))
+    labelled = labelled.join(ruled, "key", "left").select("key", "kind", F.coalesce("by_rule", F.lit(False)).alias("by_rule"))
     held = extracted.where(F.col("doc").isNotNull()).select("doc", F.explode("keys").alias("key"))
-    hit = held.join(labelled.select("key", "kind"), "key")
-    return hit.groupBy("doc").agg(F.sort_array(F.collect_set("kind")).alias("kinds")).withColumnRenamed("doc", key)
+    hit = held.join(labelled, "key")
+    return hit.groupBy("doc").agg(F.sort_array(F.collect_set("kind")).alias("kinds"), F.max("by_rule").alias("by_rule")).withColumnRenamed("doc", key)

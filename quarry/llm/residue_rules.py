@@ -1,7 +1,13 @@
-"""What counts as residue in the place of content: passages, marks of mention, and the trusted rules.
+"""What rules alone recognise as residue, and the forms of a passage in which likeness finds the rest.
 
 A passage is a sentence of running text, or one line of a list, table or template. Sections shown as code
 (code, nowiki, pre, syntaxhighlight, math) and comments are no content and are cut out first.
+
+The rules are general and few: the syntax of template languages, log and status lines, and notices. A notice
+is told by a core statement (scripts must be enabled, a page cannot be found, a text is still to come) in a
+passage that has hardly a word besides the vocabulary of user interfaces: running text on the same subject
+has words of its own. Everything else is left to likeness, see `residue`: words that stand where a near-duplicate
+has a value (frames), and filler text, of which only the public words are known here.
 """
 
 from __future__ import annotations
@@ -23,172 +29,170 @@ TAGS = (
     " SYNTAXHIGHLIGHT TABLE TD TH TR TT U UL VAR"
 ).split()
 SWITCHES = "TOC NOTOC FORCETOC NOEDITSECTION NEWSECTIONLINK NONEWSECTIONLINK NOINDEX INDEX NOGALLERY HIDDENCAT STATICREDIRECT NOTITLECONVERT NOCONTENTCONVERT DISAMBIG".split()
-# Words of made-up Latin filler.
-FILLER_WORDS = frozenset(
-    "lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore dolore magna aliqua enim minim veniam quis"
-    " nostrud exercitation ullamco laboris nisi aliquip commodo consequat duis aute irure reprehenderit voluptate velit esse cillum fugiat"
-    " nulla pariatur excepteur sint occaecat cupidatat proident sunt culpa officia deserunt mollit anim laborum vestibulum pellentesque"
-    " condimentum fermentum tristique ultrices orci nunc nibh tempus magnus ultra lorem dorum vesti tiquat solere condim nibhe quamor elitas"
-    " fermen sitque pellor amens".split()
-)
-#: Kinds whose labels do not spread.
-UNFILLED = ("placeholder", "value")
+#: Words a field in square brackets ends with.
+FIELDS = "name|date|year|month|day|time|title|company|city|town|country|address|place|location|number|amount|price|email|phone|author|subject|topic|description|text|value|url|link"
 # Fields a script did not fill, by the syntax of common template languages.
 PLACEHOLDERS = (
     r"\{\{\{[^{}\n]*\}\}\}",
     r"\$\{[^{}\n]*\}",
     r"<%=?[^%\n]*%>",
+    r"\{% ?\w[^%\n]*%\}",
     r"\{\{ [\w.]+ \}\}",
+    r"(?<![\w^{$\\])\{[a-z][a-z0-9]+(?:_[a-z0-9]+)*\}(?!\})",
     r"@@\w+@@",
     r"%[A-Za-z][A-Za-z_]{2,}\d*%",
-    r"#[A-Z][A-Z_]+\d*#",
-    r"\[insert\b[^\]\n]*\]",
-    r"\[[\w ]{1,30} TBD\]",
-    r"(?<![\w^{])\{\d\}(?!\})",
+    r"\[(?:insert|enter|your|add)\b[^\]\n]*\](?!\()",
+    r"(?<!\[)\[[\w ]{1,30} (?:TBD|TBA|TBC)\]",
+    r"(?<!\[)\[(?:[A-Z][a-z]+ )?(?:" + "|".join(f.capitalize() for f in FIELDS.split("|")) + r")\](?![(\]])",
     r"\[object Object\]",
     r"#(?:REF|VALUE|DIV/0|NAME)[!?]",
+)
+#: What a failed script may write for a value, and marks of fields that mean other things elsewhere (sets, keys, macros, tags):
+#: residue only where likeness shows that a value belongs there.
+AMBIGUOUS = (
+    r"\bundefined\b",
+    r"\bNaN\b",
+    r"\bNone\b",
+    r"\bnull\b|\bNULL\b",
+    r"\bnil\b",
+    r"\bXXX+\b",
+    r"#[A-Z][A-Z_]+\d*#",
     r"__(?!(?:" + "|".join(SWITCHES) + r")__)[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)*__",
     r"<(?!(?:" + "|".join(TAGS) + r")>)[A-Z][A-Z0-9_]+>",
+    r"(?<![\w^{$\\])\{\d\}(?!\})",
 )
-# What a failed script writes instead of a value.
-VALUES = (r"\bundefined\b(?! (?:index|variable|offset|method|function|property)\b)", r"\bNaN\b", r"\bXXXX+\b", r"\bNone\b(?! of\b)", r"(?<=[=|]) *\b(?:null|nil|nan|none)\b *(?=$|\|)")
-# Beginnings and cores of notices and error messages, on folded text (see fold()).
-NOTICES = (
-    r"\b(?:enable|activate|turn on|switch on|allow) (?:java ?scripts?|js|scripts|scripting)\b",
-    r"\b(?:java ?scripts?|js|scripts|scripting) (?:is|are|has been|have been|is currently) (?:disabled|blocked|switched off|turned off|required|needed|off|not enabled)\b",
-    r"\bscripting (?:switched|turned) off\b",
-    r"\b(?:needs|requires) (?:java ?scripts?|js|scripts)\b",
-    r"\bjs turned on\b",
-    r"\bactive scripting is required\b",
-    r"\bdoes not support (?:java ?scripts?|scripts)\b",
-    r"\bmay be blocking scripts\b",
-    r"\bscripts and cookies must be allowed\b",
-    r"\bchecking your browser before\b",
-    r"\b(?:bitte )?aktivieren sie java ?script\b",
-    r"\bohne (?:java ?script|skripte) (?:lasst|kann|konnen)\b",
-    r"\bactive(?:z|r)? (?:java ?script|los scripts)\b",
-    r"\bactiver java ?script\b",
-    r"\bnecessite (?:java ?script|des scripts)\b",
-    r"\brequiere (?:java ?script|scripts)\b",
-    r"\bhabilite (?:java ?script|los scripts)\b",
-    r"<noscript>",
+#: Kinds whose labels do not spread.
+UNFILLED = ("placeholder", "value")
+# Distinctive words of the public filler text and its usual generators.
+FILLER_WORDS = frozenset(
+    "lorem ipsum dolor amet consectetur consectetuer adipiscing elit eiusmod tempor incididunt labore dolore aliqua minim veniam nostrud"
+    " exercitation ullamco laboris aliquip commodo consequat duis aute irure reprehenderit voluptate velit cillum fugiat pariatur excepteur"
+    " occaecat cupidatat proident deserunt mollit laborum vestibulum pellentesque condimentum fermentum tristique ultrices orci nunc nibh"
+    " tempus vivamus curabitur phasellus suspendisse".split()
 )
-ERRORS = (
-    r"^(?:error|fehler|erreur) ?[45]0\d\b",
-    r"^(?:http )?[45]0\d:? (?:not found|forbidden|bad gateway|service unavailable|internal server error|gateway time-?out|bad request|unauthorized)\b",
-    r"^(?:the )?page you (?:are looking for|requested)\b.*\b(?:moved|no longer|not|cannot)\b",
-    r"^(?:the )?requested (?:page|url|resource)\b.*\bnot\b",
-    r"^die gewunschte seite wurde nicht gefunden\b",
-    r"^la page demandee est introuvable\b",
-    r"^no se encontro la pagina solicitada\b",
-    r"^access denied\.?$",
-    r"^you do not have permission\b",
-    r"^internal server error\b",
-    r"^(?:503 )?service unavailable\b",
-    r"^(?:502 )?bad gateway\b",
-    r"^gateway time-?out\b",
-    r"^(?:a )?database error has occurred\b",
-    r"^datenbankfehler\b",
-    r"^(?:fatal|parse|uncaught|syntax) error\b",
-    r"^(?:warning|notice): undefined (?:index|variable|offset|property)\b",
-    r"\bcall to a member function\b",
-    r"^traceback \(most recent call last\)",
-    r"^\W*\"?error\"?: ?\{",
-    r"<error code=",
-    r"^(?:oops\W+)?something went wrong\b",
-    r"^oops\b.*\bwent wrong\b",
-    r"^(?:sorry\W+)?this (?:site|page|wiki|server) is (?:experiencing|having) technical\b",
-    r"^try waiting a few minutes\b",
-    r"^the (?:wiki|site|server) is (?:in|under|down for) maintenance\b",
-    r"^too many requests\b",
-    r"^could not connect to\b",
-    r"\bconnection refused$",
-    r"^le serveur a mis trop de temps\b",
-    r"^el servidor no respondio\b",
-    r"^der server (?:hat|antwortet)\b.*\bnicht\b",
-    r"^the backend did not answer\b",
-    r"^upstream (?:closed|timed out)\b",
-    r"^no content was received from the origin\b",
-    r"^http [45]\d\d\b",
-    r"^your session has (?:expired|timed out|ended)\b",
-    r"^log ?in again to\b",
-    r"^(?:we'll|we will|we shall) be back (?:shortly|soon)\b",
-    r"^vous n'avez pas (?:le droit|l'autorisation|la permission|acces)\b",
-    r"^(?:usted )?no tiene (?:permiso|autorizacion|acceso)\b",
-    r"^(?:sie haben keine berechtigung|zugriff verweigert|acces refuse|acceso denegado)\b",
-    r"^the query for \w+ \w+ failed\b",
-    r"^slow down and retry\b",
+
+# Logs, status lines and error objects: syntax, so no vocabulary is asked for.
+_LOG = re.compile(
+    r"^(?:php )?(?:fatal|parse|syntax|uncaught|runtime|warning|notice|unhandled)[ :]+(?:\w*error|\w*exception|undefined)\b"
+    r"|^traceback \(most recent call last\)|\bon line \d+$|^\W*\"?errors?\"?: ?[{\[]|^<error\b[^>]*\b(?:code|info|message)=|^\W*exception in thread\b"
+    r"|^(?:(?:http|error|fehler|erreur)[ /\d.:]{0,7})?[45]\d\d\W{0,3} ?(?:not found|forbidden|unauthori[sz]ed|bad (?:request|gateway)|service unavailable"
+    r"|internal server error|gateway time-?out|request time-?out|too many requests|method not allowed|gone)\b"
+    r"|^could not connect to\b|\bconnection refused$|^<noscript>"
 )
-FILLERS = (
-    r"\b(text|texto|texte|beispieltext|mustertext|blindtext)(?: \1){2,}\b",
-    r"^(?:lead|opening|first|second|third|closing|last) (?:sentence|paragraph|heading)$",
-    r"^(?:sample|dummy|placeholder|filler) (?:text|copy|paragraph|content|heading|sentence|title|caption)\b",
-    r"^this is (?:dummy|sample|placeholder|filler) (?:text|copy|content)\b",
-    r"^\W*placeholder\b",
-    r"^platzhaltertext\b",
-    r"^(?:blindtext|beispieltext|mustertext)\b",
-    r"^texto de (?:relleno|ejemplo|muestra)\b",
-    r"^texte (?:factice|de remplissage|d'exemple)\b",
-    r"^(?:your|insert|enter|type|write|add|put) (?:your )?(?:text|content) (?:goes )?here\b",
-    r"^votre texte ici\b",
-    r"^(?:escriba|introduzca|inserte) aqui\b",
-    r"^(?:hier|ihr) (?:text|steht|kommt|folgt|ihren text|bitte text)\b",
-    r"^(?:bitte )?(?:hier )?text (?:hier )?(?:einfugen|eingeben|erganzen)\b",
-    r"^(?:section |article |page )?(?:text|content|details|description|more) (?:to be (?:added|written|completed|supplied)|to follow|will follow|coming soon|pending)\b",
-    r"^(?:to be (?:added|written|completed|continued|announced)|coming soon|under construction|tbd|tba|todo)\W*$",
-    r"^(?:contenu|texte|section|article) (?:a venir|a completer|a rediger)\b",
-    r"^(?:inhalt|text|abschnitt|beschreibung|weiteres) (?:folgt|wird noch|kommt noch)\b",
-    r"^(?:contenido|texto|seccion) (?:pendiente|por anadir|proximamente)\b",
-    r"\bpendiente de redactar\b",
-    r"^(?:this|the) (?:section|article|page|paragraph|part) (?:has not been|is not|was not|will be|is yet to be|is to be) (?:yet )?(?:written|added|completed|filled)\b",
-    r"^example (?:item|heading|text|paragraph|sentence|caption|entry)\b",
-    r"^(?:todo|tbd|fixme|to do): ",
-    r"^blah blah\b",
-    r"^(?:add|write|insert|put|give|enter) (?:a|an|the|some|your|two|one|three) (?:or \w+ )?(?:short |brief )?(?:summary|description|text|paragraph|sentence|sentences|introduction|details|content|overview|lead)\b",
-    r"^replace this (?:paragraph|text|section|sentence|line)\b",
-    r"^remplacez ce(?:tte)? (?:paragraphe|texte|section|phrase|ligne)\b",
-    r"^(?:bitte )?(?:diesen absatz|diesen text|diesen abschnitt) (?:bitte )?(?:vor dem speichern )?ersetzen\b",
-    r"^ersetzen sie diese[nrs]? (?:absatz|text|abschnitt|satz|zeile)\b",
-    r"^(?:reemplace|sustituya) este (?:parrafo|texto|apartado)\b",
-    r"^(?:dieser|der) (?:abschnitt|artikel|text) (?:wurde noch nicht|ist noch nicht|muss noch|folgt)\b",
-    r"^cet(?:te)? (?:section|article|partie) (?:n'a pas encore|reste a|est a)\b",
-    r"^est[ea] (?:seccion|articulo|apartado) (?:aun no|todavia no|esta por|esta pendiente)\b",
-    r"^(?:proximamente|bientot disponible|demnachst)\W*$",
+#: Notes to oneself, and one word over and over: syntax as well.
+_NOTE = re.compile(r"^(?:todo|to do|fixme|tbd)\s?[:(]|^(\w{0,10}text[eo]?|blah|bla)(?:\W+\1\b){2,}\W*$")
+#: Core statements of notices, on folded text, by kind and language.
+_SCRIPT = r"java ?scripts?|js|scripts?|scripting|cookies?|skripte"
+_SWITCH = (
+    r"enabl\w+|activat\w+|turn\w*|switch\w*|allow\w*|requir\w+|needs?|support\w*|disabl\w+|block\w+|without"
+    r"|aktivier\w+|deaktiviert|ohne|erforderlich|benotigt|zulassen|activ\w+|desactiv\w*|necessit\w*|requi\w+|sans|autorise\w*"
+    r"|habilit\w+|necesita|desactivado|sin|permit\w+|bloque\w+"
 )
+CORES = {
+    "script notice": (
+        rf"\b(?:{_SCRIPT})\b.*\b(?:{_SWITCH})\b|\b(?:{_SWITCH})\b.*\b(?:{_SCRIPT})\b",
+        r"\b(?:checking|verifying|updat\w+|upgrad\w+|outdated|unsupported)\b.*\bbrowser\b|\bbrowser\b.*\b(?:outdated|unsupported|not supported|out of date)\b",
+    ),
+    "error": (
+        r"(?:\bnot|n't) (?:be )?(?:found|available|exist|working|reachable|accessible|respond\w*|answer\w*|displayed|loaded|reached|opened|completed|processed|authori[sz]ed)\b",
+        r"^(?:bad gateway|gateway time-?out|(?:service|temporarily) unavailable|internal server error|too many requests|access (?:denied|forbidden)|forbidden)\b",
+        r"\b(?:no longer|un) ?(?:exists?|available)\b|\binaccessible\b|\bunable to (?:complete|process|handle|load|find|connect)\b|\bencountered an? (?:\w+ )?error\b",
+        r"\b(?:access|permission|request) (?:is |was |has been )?(?:denied|refused|rejected|failed|blocked)\b|\b(?:do|does|did)(?: not|n't) have (?:the )?(?:permission|access|rights)\b",
+        r"\bhas (?:moved|expired|ended|timed out)\b|\bhave been (?:logged|signed) out\b|\btime[ds]? ?-?out\b|\b(?:log|sign) in (?:again )?to (?:continue|proceed)\b",
+        r"\b(?:went|gone|going) wrong\b|\b(?:an?|unexpected|internal|database) error (?:has )?occurred\b|\btechnical (?:difficult\w+|problems?|issues?)\b|\b(?:error|fehler|erreur) [45]\d\d\b|\bhttp [45]\d\d\b",
+        r"\b(?:in|under|down for|undergoing) (?:scheduled )?maintenance\b|\bbe back (?:soon|shortly|later|online)\b|\b(?:try|retry|reload\w*|refresh\w*|wait\w*)\b.*\b(?:again|later|minutes?|seconds?|page)\b",
+        r"\b(?:query|request|connection|operation|lookup|upload|login)\b.*\b(?:failed|closed|refused|reset|lost|aborted|interrupted)\b|\bclosed the connection\b|\bno (?:content|response|data) was received\b",
+        r"\bnicht (?:gefunden|verfugbar|erreichbar|gestattet|geladen|beantwortet|geantwortet)\b|\b(?:antwortet|hat)\b.*\bnicht\b.*\b(?:server|zeit\w*|rechtzeitig|geantwortet)\b|\b(?:server|dienst)\b.*\bnicht\b|\bverweigert\b|\bkeine berechtigung\b|\babgelaufen\b|\bdatenbankfehler\b|\bwartung\w*\b|\bfehlgeschlagen\b",
+        r"\bintrouvable\b|\bn'existe pas\b|\bacces (?:refuse|interdit)\b|\bn'avez pas\b.*\b(?:droit|autorisation|permission|acces)\b|\bmis trop de temps\b|\bindisponible\b|\ba expire\b|\breessayez\b",
+        r"\bno se (?:encontro|ha encontrado|pudo)\b|\bacceso (?:denegado|prohibido)\b|\bno tiene\b.*\b(?:permiso|autorizacion|acceso)\b|\bno respond\w+\b|\bno (?:esta )?disponible\b|\bha (?:caducado|expirado)\b|\bintentelo\b",
+    ),
+    "filler": (
+        r"\b(?:to be (?:added|written|completed|supplied|determined|announced|continued|filled in|provided)|to follow|(?:coming|available) soon|(?:will|shall) (?:follow|be (?:added|written|completed|provided))|(?:goes|comes) here|under construction)\b",
+        r"(?:\bnot|n't)(?: yet)? (?:been )?(?:yet )?(?:written|added|completed|filled in)\b|^(?:tbd|tba|tbc|todo)$",
+        r"^(?:please )?(?:add|write|insert|put|give|enter|type|replace|provide|describe|fill in) (?:\w+ ){0,3}(?:text|content|section|details?|description|summary|paragraphs?|sentences?|information|introduction|overview|lead|heading|title|line)\b|\byour (?:text|content|title|heading)\b",
+        r"\b(?:sample|dummy|placeholder|filler|example) (?:text|copy|content|paragraph|heading|sentence|title|caption|item|section|entry|image)\b",
+        r"^(?:lead|opening|closing|first|second|third|fourth|last|next|untitled) (?:sentence|paragraph|heading|section|item|title)(?: (?:one|two|three|\w|\d+))?$",
+        r"^(?:\w{0,10}text|inhalt|abschnitt|absatz|beschreibung|artikel|weiteres|details)\b.*\b(?:folgt|folgen|erganz\w+|ersetzen|einfugen|eingeben|geschrieben)\b|\b(?:hier|ihr|ihren)\b.*\btext\b|^(?:bitte )?diese[nrs]? (?:absatz|text|abschnitt|satz|zeile)\b.*\bersetzen\b|\b(?:platzhalter|blind|beispiel|muster)text\b|\b(?:abschnitt|artikel|text)\b.*\b(?:noch nicht|muss noch|wird noch|fehlt noch)\b|^(?:demnachst|kommt bald)$",
+        r"\b(?:texte|contenu|section|article|paragraphe|partie)\b.*\b(?:a venir|a completer|a rediger|a ecrire|ici)\b|^(?:remplacez|inserez|ajoutez|redigez|completez)\b.*\b(?:texte|paragraphe|section|phrase|ligne|contenu|resume)\b|\btexte (?:factice|de remplissage|d'exemple)\b|\bn'a pas encore ete (?:redige|ecrit)\w*\b|^bientot disponible$",
+        r"\b(?:texto|contenido|seccion|articulo|parrafo|apartado)\b.*\b(?:pendiente|por anadir|por escribir|proximamente|aqui)\b|^(?:reemplace|sustituya|escriba|introduzca|inserte|anada)\b.*\b(?:texto|parrafo|seccion|apartado|frase|linea|contenido|resumen)\b|\btexto de (?:relleno|ejemplo|muestra)\b|\b(?:aun|todavia) no se ha (?:escrito|redactado)\b|^proximamente$",
+    ),
+}
+#: What speaks about a notice instead of being one.
+_ABOUT = re.compile(r"\b(?:status code|means? that|known as|called|named|the (?:term|word|phrase|message|code|error) (?:is|was|for)|stands for|refers to|is (?:an?|the) \w+ (?:for|of|in|that|which)|(?:until|since|in|from|before|after|by) (?:1\d|20)\d\d|by the|bedeutet|genannt|signifie|appele\w*|significa|llamad[oa])\b")
+#: Words notices are made of besides their core: of user interfaces, and common ones, by language.
+VOCABULARY = {
+    "interface": (
+        "page pages site website web browser browsers app application content contents article articles revision revisions document version server wiki url address link"
+        " file resource request requests requested database connection session system service servers cache node host gateway origin index origin upstream backend query code error errors"
+        " ticket support team administrator admin user account login log sign code info message details http https ad blocker javascript script scripts js cookies time minute minutes"
+        " second seconds moment section text sentence paragraph heading summary description subject point item example sample dummy copy title field list image caption"
+        " information introduction overview lead space real view read show display displayed load loading loaded reload refresh run open opening continue render edit save saving saved replace"
+        " reply answer rebuilt mode side technical placeholder blah bla zugriff up-to-date date modern current proper properly correctly latest"
+    ),
+    "en": (
+        "a an and any are as at be been before below but by can cannot can't could do does don't else few for from had has have if in into is isn't it its it's just later may might more must my"
+        " new no not nothing now of off on once one only oops or our out over please properly right should so some something soon sorry still such that the their then there these they this"
+        " three to too two under unexpected until up us use using very was we we'll we're were when where which while will with works working work would yet you your yours again back happens"
+        " currently temporarily unavailable after internal bad gateway forbidden best arrives short brief here written added needed try trying down fills looking about write"
+    ),
+    "de": (
+        "aber alle als am an zurzeit derzeit ihrem platzhaltertext blindtext beispieltext mustertext auf aus bei bis bitte da damit das dass dem den der des die dies diese diesen dieser dieses diesem ein eine einen einer eines er es fur gewunschte haben hat hier"
+        " ihr ihre ihren im in ist kann kein keine konnen lassen lasst mit nach neu nicht noch oder seite seiten server sich sie sind spater steht text um und uns versuchen erneut versuch vom von vor wartung"
+        " was wird wurde wurden zu zum zur zeit artikel inhalt absatz abschnitt browser anzeigen anzuzeigen laden laedt ladt speichern fehler verwenden javascript skripte anfrage version antwort sehen lesen nutzen"
+    ),
+    "fr": (
+        "a au aux avant avec ce ces cet cette dans de des droit du en est et etre ici il la l'article l'envoi l'erreur le les lire leur ne nous ou page par pas plus pour puis que qui sa se ses son sur un une"
+        " veuillez votre vos vous y d'afficher afficher serveur site navigateur texte contenu paragraphe section recharger rechargez activez-les demandee demande temps repondre trop mis n'avez version"
+        " cliquez essayer nouveau plus tard javascript scripts voir consulter consultation erreur requete"
+    ),
+    "es": (
+        "a al antes aqui con de del donde el en es esta este esto favor han ha la las lo los mas no o para pagina por que recargue recargar se servidor sin sitio solicitada solicitado su sus tarde texto tiempo"
+        " un una usted ver y habilitelos intente nuevo contenido navegador error version parrafo seccion vuelva guardar mostrar leer javascript scripts tiene"
+    ),
+}
+#: Least share of a notice's words that its core and the vocabulary must hold, and the most words of a notice.
+COVERED, LONGEST = 0.88, 40
 
 _PLACEHOLDER = re.compile("|".join(PLACEHOLDERS))
-_VALUE = re.compile("|".join(VALUES))
-_FIRST_NONE = re.compile(r"^None\b(?! [NE][,.])")
-_OPENING = re.compile("|".join(r.removeprefix("^") for r in NOTICES + ERRORS + FILLERS if r.startswith("^")))
-_INSIDE = re.compile("|".join(r for r in NOTICES + ERRORS + FILLERS if not r.startswith("^")))
-#: Some literal of every rule that may match inside a passage.
-_INSIDE_HINT = re.compile(r"script|\bjs\b|your browser|skripte|member function|error|refused|text|placeholder|redactar|went wrong")
-_KINDS = [(kind, re.compile("|".join(rules))) for kind, rules in (("script notice", NOTICES), ("error", ERRORS), ("filler", FILLERS))]
+_AMBIGUOUS = re.compile("|".join(AMBIGUOUS))
+_FIELD = re.compile("|".join(PLACEHOLDERS + AMBIGUOUS))
+_KINDS = [(kind, re.compile("|".join(f"(?:{c})" for c in cores))) for kind, cores in CORES.items()]
+#: The words of the cores themselves, and the beginnings of those given by their beginning.
+_CORE_WORDS = re.findall(r"(?<![\\a-z'])([a-z][a-z']+)(\\w)?", " ".join(c for cores in CORES.values() for c in cores).replace(r"\b", " "))
+_VOCABULARY = frozenset(w for words in VOCABULARY.values() for w in words.split()) | {w for w, more in _CORE_WORDS if not more}
+_STEMS = tuple(w for w, more in _CORE_WORDS if more and len(w) > 3)
+#: Words of which any core or log line holds one (prefixes), for speed.
+_HINT = re.compile(
+    r"script|\bjs\b|exist|cookie|skripte|browser|not\b|n't\b|no longer|unavail|access|acces|denied|permission|moved|expire|ended|\bout\b|log in|sign in|wrong|error|technical|"
+    r"maintenance|back|try|load|refresh|wait|fail|closed|refus|reset|lost|abort|interrupt|received|nicht|verweigert|berechtigung|abgelaufen|fehl|wartung|"
+    r"introuvable|avez|temps|indisponible|reessayez|no se|denegado|tiene|respond|disponible|caducado|intentelo|to be|follow|soon|here|construction|written|added|"
+    r"completed|tbd|tba|tbc|todo|to do|fixme|text|conten|section|detail|descri|summary|paragra|sentence|information|introduc|overview|lead|heading|title|line|copy|caption|item|entry|"
+    r"inhalt|abschnitt|absatz|beschreibung|artikel|satz|zeile|demnachst|bald|article|partie|phrase|ligne|resum|redige|ecrit|bientot|seccion|articulo|apartado|frase|linea|proximamente|escrito|redactado|"
+    r"bla|warning|notice|fatal|exception|traceback|gateway|forbidden|many requests|connect|unsupported|outdated|http|\b[45]\d\d\b"
+)
 _TAG = re.compile(r"</?(?:" + "|".join(t for t in TAGS if t not in ("NOSCRIPT", "ERROR")) + r")\b[^<>]*>", re.I)
 _QUOTED = re.compile(r"''[^'\n]+''(?!')|“[^”]*”|„[^“”]*[“”]|«[^»]*»|\"[^\"]*\"|‘[^’]*’")
+_NAMED = re.compile(r"“[^”]{1,60}”|\"[^\"]{1,60}\"|«[^»]{1,60}»")
 _LEET = str.maketrans("013457", "oieast")
 _LEET_HINT = re.compile(r"[A-Za-z][0-9]|[0-9][A-Za-z]")
+_HEX = re.compile(r"[0-9a-fA-F]{6,}")
 _LEET_WORD = re.compile(r"\b[0-9]*[A-Za-z]+[A-Za-z0-9]*\b")
 #: Words with a capital inside a passage, and numbers.
 _NAME = re.compile(r"(?<=\S )[A-ZÀ-ÖØ-Þ][\w'’-]*(?: [A-ZÀ-ÖØ-Þ][\w'’-]*)*|(?<!\w)\d+(?:[.,:/–-]\d+)*(?!\w)")
+#: The same in a frame, where link marks are gone and a bold start is the subject's name.
+_FRAMED = re.compile(r"(?:(?<=\S )|(?<=:))[A-ZÀ-ÖØ-Þ][\w'’-]*(?: \(?[A-ZÀ-ÖØ-Þ][\w'’)-]*)*|(?<!\w)\d+(?:[.,:/–-]\d+)*(?!\w)")
+_SUBJECT = re.compile(r"^\W*'''[^'\n]+'''")
+_NOTE_TAG = re.compile(r"</?ref\b[^<>]*>", re.I)
+_MASKS = re.compile(r"¤(?:[ ,]*¤)+")
 _MASK = "¤"
 #: A masked block needs so many words of its own, and as many of them as masks.
 OWN_WORDS = 5
 _EDGES = " '\"*.-–—:;([|!#=>_~"
+_WORD = re.compile(r"(?<!\w)[a-z][a-z'-]*(?!\w)")
 #: Literals of which every placeholder and value holds one.
-_LITERALS = (
-    "{", "<%", "@@", "__", "%", " TBD", "[insert", "[object", "undefined", "NaN", "XXXX", "None", "null", "nil", "nan", "none"
-)
-_CAPITALS = re.compile(r"[<#][A-Z]")
-# First words of the rules that start with ``^``.
-_FIRST_WORDS = frozenset(
-    "error fehler erreur http 400 401 403 404 405 408 409 410 429 500 501 502 503 504 page the requested die la no access you internal"
-    " service bad gateway a database datenbankfehler fatal parse uncaught syntax warning notice traceback oops something sorry this try"
-    " too could le el der upstream we'll we your log slow vous usted acces acceso zugriff sie sample dummy example fixme to blah give replace remplacez diesen ersetzen reemplace sustituya dieser cet cette esta este placeholder filler platzhaltertext blindtext beispieltext mustertext lead opening first second third closing last texto texte your insert enter type write add"
-    " put votre escriba introduzca inserte hier ihr bitte text section article content details description more to coming under tbd tba"
-    " todo contenu inhalt abschnitt beschreibung weiteres contenido seccion proximamente bientot demnachst".split()
-)
-_FIRST_WORD = re.compile(r"\W*([\w']+)")
+_LITERALS = ("{", "<%", "@@", "%", " TB", "[", "#")
+#: The same for ambiguous marks and words.
+_MARKS = re.compile(r"undefined|NaN|None|null|NULL|nil|XXX|#[A-Z]|__[A-Z]|<[A-Z]|\{\d")
 
 
 def clean(text: str) -> str:
@@ -235,7 +239,7 @@ def fold(passage: str) -> str:
     if "''" in text:
         text = text.replace("'''", "").replace("''", "")
     if _LEET_HINT.search(text):
-        text = _LEET_WORD.sub(lambda m: m[0].translate(_LEET), text)
+        text = _LEET_WORD.sub(lambda m: m[0] if _HEX.fullmatch(m[0]) else m[0].translate(_LEET), text)
     if not text.isascii():
         text = unicodedata.normalize("NFKD", text.replace("’", "'"))
         text = "".join([c for c in text if not unicodedata.combining(c)])
@@ -249,6 +253,42 @@ def masked(block: list[str]) -> str | None:
     return text if words - masks >= max(OWN_WORDS, masks) else None
 
 
+def quotes(passage: str) -> list[str]:
+    """What stands in quotation marks or italics."""
+    return _QUOTED.findall(passage.replace("'''", ""))
+
+
+def suspected(passage: str) -> bool:
+    """Whether an ambiguous mark or word for no value occurs outside of quotation marks and italics.
+
+    A term that the passage also shows in quotation marks or italics is spoken about, not left over.
+    """
+    if not _MARKS.search(passage) or not _AMBIGUOUS.search(passage):
+        return False
+    shown = {m[0] for quote in quotes(passage) for m in _AMBIGUOUS.finditer(quote)}
+    return any(m[0] not in shown for m in _AMBIGUOUS.finditer(passage))
+
+
+def frame(passage: str) -> str | None:
+    """The folded passage with everything masked that fills a field: placeholders, ambiguous marks, names and numbers.
+
+    None if nothing is masked, or nothing besides that tells what belongs there (a word, or the cells of a table).
+    """
+    text = _FIELD.sub(_MASK, _SUBJECT.sub(_MASK, passage)) if "'''" in passage else _FIELD.sub(_MASK, passage)
+    if "[[" in text or "'''" in text:
+        text = text.replace("[[", "").replace("]]", "").replace("'''", "")
+    text = _FRAMED.sub(_MASK, text)
+    if _MASK not in text:
+        return None
+    text = fold(_MASKS.sub(_MASK, text))
+    return text if _MASK in text and (_WORD.search(text) or "||" in text) else None
+
+
+def parts(passage: str) -> list[str]:
+    """The passage as it stands, or its running text and its reference notes apart: a note has fields of its own."""
+    return [p for p in _NOTE_TAG.split(passage) if p.strip()] if "<ref" in passage else [passage]
+
+
 def block_kind(block: list[str], kinds: list[str | None]) -> str | None:
     """The kind of a block of which rules recognise at least half of the words (unfilled fields do not count)."""
     sizes: dict[str, int] = {}
@@ -261,35 +301,31 @@ def block_kind(block: list[str], kinds: list[str | None]) -> str | None:
 
 
 def trusted(passage: str, folded: str) -> str | None:
-    """The kind of residue a passage certainly is, or None.
-
-    A term that the passage also shows in quotation marks or italics is spoken about, not left over.
-    """
-    if any([x in passage for x in _LITERALS]) or _CAPITALS.search(passage):
-        if _PLACEHOLDER.search(passage):
-            return "placeholder"
-        plain = passage
-        mentioned: set[str] = set()
-        for quote in _QUOTED.findall(passage):
-            mentioned.update(m[0].strip() for m in _VALUE.finditer(quote))
-        if mentioned or "''" in passage or '"' in passage:
-            plain = _QUOTED.sub(" ", passage.replace("'''", ""))
-        start = len(plain) - len(plain.lstrip())
-        for m in _VALUE.finditer(plain):
-            value = m[0].strip()
-            if value in mentioned:
-                continue
-            if value == "None" and m.start() <= start and _FIRST_NONE.match(plain[start:]) and "'''None'''" not in passage:
-                continue
-            return "value"
-    first = _FIRST_WORD.match(folded)
-    if (first and first[1] in _FIRST_WORDS and _OPENING.match(folded)) or (_INSIDE_HINT.search(folded) and _INSIDE.search(folded)):
-        return next(kind for kind, rules in _KINDS if rules.search(folded))
+    """The kind of residue a passage certainly is, or None. A notice in quotation marks or italics is spoken about."""
+    if any([x in passage for x in _LITERALS]) and _PLACEHOLDER.search(passage):
+        return "placeholder"
+    if _LOG.search(folded):
+        return "error"
     words = folded.split()
-    hits = sum([w.strip(".,") in FILLER_WORDS for w in words])
-    return "filler" if hits >= 2 and hits >= 0.6 * len(words) else None
+    if _NOTE.search(folded):
+        return "filler"
+    known = {w.strip(".,") for w in words} & FILLER_WORDS
+    if len(known) >= 3 and 5 * sum([w.strip(".,") in known for w in words]) >= 2 * len(words):
+        return "filler"
+    if len(words) <= LONGEST and _HINT.search(folded):
+        for kind, cores in _KINDS:
+            if cores.search(folded) and covered(folded) and not _ABOUT.search(folded) and not any([cores.search(fold(q)) for q in quotes(passage)]):
+                return kind
+    return None
+
+
+def covered(folded: str) -> bool:
+    """Whether the words of a passage are mostly of cores and vocabulary (numbers, single letters and a quoted name do not count)."""
+    words = _WORD.findall(_NAMED.sub(" ", folded))
+    foreign = sum([len(w) > 1 and w not in _VOCABULARY and not w.startswith(_STEMS) for w in words])
+    return foreign <= (1 - COVERED) * len(words)
 
 
 def explains(passage: str) -> bool:
     """Whether the passage shows something in quotation marks or italics: likeness alone never labels such a passage."""
-    return bool(_QUOTED.search(passage.replace("'''", "")))
+    return bool(quotes(passage))

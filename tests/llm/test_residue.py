@@ -4,12 +4,24 @@ import pytest
 from quarry.llm import residue, residue_rules as rules
 
 RESIDUE = [
-    "'''Elton''' is a village in {{{district|}}} with 30 inhabitants.", "The ferry to __RIVER__ runs 3 times a day.", "| name = @@year@@", "| %POPULATION% || 3", "[[Category:Villages in #YEAR#]]",
-    "Die Mühle von [insert name here] wurde erneuert.", "This page covers {{ river }} and more.", "Le pont de ${genus} date de 1500.", "<%= river %> is a river.", "[NAME TBD] N, 4 E.", "For other places named <YEAR>, see there.", "In {0} we see.",
-    "Dear editor, welcome to None.", "'''None''' is a species of beetle.", "Coordinates: NaN N, 3 E.", "The undefined of Orreach was opened.", "| area = null", "In 1971 the mayor, XXXX, sold the mill.",
+    "'''Elton''' is a village in {{{district|}}} with 30 inhabitants.", "| name = @@year@@", "| %POPULATION% || 3", "Die Mühle von [insert name here] wurde erneuert.", "This page covers {{ river }} and more.", "Le pont de ${genus} date de 1500.", "<%= river %> is a river.", "[NAME TBD] N, 4 E.",
     "Please enable JavaScript in your browser to read this page.", "Pl3ase enabl3 JavaScript in y0ur browser.", "SCRIPTS ARE BLOCKED.", "<div class=\"notice\">Cette page nécessite des scripts ; activez-les.</div>", "Loading… if nothing happens, your browser\nmay be blocking scripts.", "<noscript>Your browser does not support scripts</noscript>", "Enable&nbsp;JS and disable any ad blocker to continue.",
     "Error 404 – the page “Elton” could not be found on this server.", "502 Bad Gateway\n-----\nupstream closed the connection", "Traceback (most recent call last):\n  File \"bot.py\"", "'''Access denied.'''", "Warning: Undefined index: rev in /srv/x.inc on line 3", '{"error": {"code": "nosuchrevid"}}', "<error code=\"3\" info=\"missing title\" />", "Fatal error: call to a member function getText() on null", "HTTP 429: the request for “Elton” was not completed.",
-    "Lorem ipsum vesti dolor nunc.", "text text text text", "Coming soon!", "Section text to be added.", "Texte à venir.", "Your text goes here.", "Replace this paragraph before saving.", "[placeholder paragraph – write two sentences]", "TODO: describe the history of this place.", "Lead sentence. Second sentence. Third sentence.", "Sample heading. Sample text.", "Beispieltext Beispieltext Beispieltext",
+    "Lorem ipsum dolor sit amet, consectetur adipiscing elit.", "text text text text", "Coming soon!", "Section text to be added.", "Texte à venir.", "Your text goes here.", "Replace this paragraph before saving.", "[placeholder paragraph – write two sentences]", "TODO: describe the history of this place.", "Lead sentence. Second sentence. Third sentence.", "Sample heading. Sample text.", "Beispieltext Beispieltext Beispieltext",
+]
+#: Held out: residue and genuine sentences of other kinds of pages, not those of the test tables.
+UNSEEN_RESIDUE = [
+    "Page not found", "This page isn't working right now.", "Cookies must be enabled to view this website.", "[Company Name] was founded in [Year].", "Hello {name}, welcome", "{% block content %}", "You need to enable JavaScript to run this app.",
+    "Sorry, the page you requested could not be found.", "404 Not Found", "The server encountered an internal error and was unable to complete your request.", "Please turn on JavaScript and reload the page.", "Dear {{ user.first_name }}, thank you.", "Your connection was interrupted. Please try again later.",
+    "This site requires cookies.", "Text coming soon.", "Description to follow.", "Insert your text here.", "We're sorry, something went wrong.", "This content is currently unavailable.", "Diese Seite ist zurzeit nicht erreichbar.", "Bitte aktivieren Sie Cookies in Ihrem Browser.", "Cette page n'existe pas.", "La página no está disponible.", "Hola ${nombre}, bienvenido.",
+    "%FIRST_NAME% lives in %CITY%.", "An unexpected error has occurred.", "Session timed out. Please log in again.", "Details will be added later.", "Access forbidden", "This section is under construction.", "Your browser is out of date.", "Uncaught TypeError: Cannot read properties of undefined (reading 'length')", "Exception in thread \"main\" java.lang.NullPointerException",
+    "The requested resource is not available.", "Please log in to continue.", "Content to be added", "Service temporarily unavailable", "JavaScript must be enabled.", "Signed [Your Name]", "This video is no longer available.", "Please wait while the page is loading and try again.", "Dieser Inhalt ist nicht verfügbar.",
+]
+UNSEEN_CONTENT = [
+    "Division by zero is undefined in the real numbers.", "Of the three candidates None was elected.", "HTTP 404 is the status code for a missing page.", "Internal server error was not the cause of the outage, the report said.", "The page was not found until 1950.", "The mill was not available to visitors.", "Work on the bridge was not completed until 1903.",
+    "The section of the canal was under construction in 1890.", "He was denied access to the archive.", "The text was written in Latin.", "The second section was added in 1901.", "The manuscript no longer exists.", "The road is no longer available to lorries.", "The treaty has expired.", "The first paragraph describes the town.", "The database contains 500 entries.", "She did not answer the letter.",
+    "The king would be back soon.", "The church is closed and will be restored.", "Null is a village in Belgium.", "The tower was not accessible from the street.", "The request was refused by the council.", "An example sentence in the grammar shows the dative.", "The site is not open to the public.", "The server of the tavern was not found guilty.", "Your text is a book by Anna Maier.", "Details follow in the next chapter.",
+    "The set {a} is open in the plane.", "The set {0} is closed under addition.", "The article [[Year]] lists events.", "The script of the play requires three actors.", "The browser wars ended in 2001.", "The article was not written by the editor.", "Press <ENTER> to accept.", "The macro __FILE__ holds the name of the source.", "Ferries wait at the pier and try the channel again at high tide.", "Quis custodiet ipsos custodes? Sed quis scit.", "El dolor de la madre no ha cesado.",
 ]
 CONTENT = [
     "To pass a value, write <nowiki>{{{name}}}</nowiki> in the template.", "The code <code>{{{district|}}}</code> is explained.", "<syntaxhighlight lang=\"sh\">\nexport A=${BASE}/wiki\nprintf '%s pages' \"$COUNT\"\n</syntaxhighlight>", "In the formula <math>f_{0} = x</math> the first term counts.",
@@ -33,12 +45,41 @@ def test_content(text):
     assert not kinds(text)
 
 
-def test_first_words_cover_the_anchored_rules():
-    import re
+def test_recall_and_precision_on_unseen_sentences():
+    found = [t for t in UNSEEN_RESIDUE if kinds(t)]
+    wrong = [t for t in UNSEEN_CONTENT if kinds(t)]
+    assert len(found) >= 0.9 * len(UNSEEN_RESIDUE), set(UNSEEN_RESIDUE) - set(found)
+    assert len(wrong) <= 0.05 * (len(found) + len(wrong)), wrong
+
+
+def found_in(spark, texts):
+    df = spark.createDataFrame(list(texts.items()), "id long, body string")
+    return {r.id: (r.kinds, r.by_rule) for r in residue.find_residue(df, key="id", text="body").collect()}
+
 
-    for rule in rules.NOTICES + rules.ERRORS + rules.FILLERS:
-        if rule.startswith("^"):
-            assert any(re.search(rf"\b{re.escape(w)}\b|{re.escape(w)}", rule) for w in rules._FIRST_WORDS), rule
+def test_ambiguous_words_are_decided_by_near_duplicates(spark):
+    marks = ["undefined", "None", "NaN", "XXXX", "__RIVER__", "<YEAR>", "#NAME#", "{0}", "null"]
+    texts = {n: f"The ferry to {m} runs 3 times a day." for n, m in enumerate(marks)}
+    texts |= {n + 20: t for n, t in enumerate(UNSEEN_CONTENT)} | {n + 70: t for n, t in enumerate(CONTENT)}
+    assert found_in(spark, texts) == {}
+    suspects = {n: (["value"], False) for n in range(len(marks))}
+    assert found_in(spark, texts | {100: "The ferry to Elton runs 5 times a day."}) == suspects
+    assert found_in(spark, texts | {100: "The ferry to {{{place}}} runs 5 times a day."}) == suspects | {100: (["placeholder"], True)}
+    table = {
+        1: "{|\n| XXXX || {0}\n|}", 2: "{|\n| Elton || 7\n|}", 3: "It says ''undefined'' there, which is undefined.", 6: "It says Elton there, which is Marton.",
+        4: "Source.<ref>NaN, ''Survey of Elton'', NaN.</ref>", 5: "Another.<ref>{{{who}}}, ''Survey of Marton'', 1950.</ref>",
+    }
+    assert found_in(spark, table) == {1: (["value"], False), 4: (["value"], False), 5: (["placeholder"], True)}
+
+
+def test_filler_words_are_learned_from_the_public_ones(spark):
+    rng = np.random.default_rng(3)
+    made_up, public = ["quamlo", "tirrat", "belsin", "ordam", "fenquis", "lomir", "sattem", "ulvor"], ["lorem", "ipsum", "tempus", "velit"]
+    texts = {n: " ".join(rng.choice(made_up + public, 12)).capitalize() + "." for n in range(30)}
+    texts |= {50: "Quamlo tirrat belsin ordam fenquis lomir.", 51: "The word quamlo is said to be a name of the river.", 52: "Sattem."}
+    texts |= {n + 60: f"The mill of Elton has {n} wheels and a long race." for n in range(8)}
+    found = found_in(spark, texts)
+    assert set(found) == set(range(30)) | {50} and found[50] == (["filler"], False)
 
 
 def test_simhash_distances():
@@ -61,14 +102,14 @@ def test_tables_find_every_pair_within_three_bits(spark):
 
 
 def test_documents_and_propagation(spark):
-    notice = "please enable javascript in your browser so that this very long notice about the wiki and its many pages of content can be shown to all of the readers who have come here from other places today and want to read the whole of it without any trouble at all thank you"
-    likeness = notice.replace("please enable javascript in your browser so", "kindly permit some magic in your viewer so")
+    notice = "please enable javascript in your browser and reload the page to view the content of this article because the site does not work without scripts and may not be displayed in a browser which has its scripts turned off again"
+    likeness = notice + " by its kind owner on that day in May"
+    assert kinds(notice) and not kinds(likeness)
     plain = "the mill was built by weavers."
-    data = [(1, notice), (2, likeness), (3, plain), (4, None), (5, ""), (6, " \n\n "), (7, "Coming soon!"), (7, plain), (None, "Coming soon!"), (8, (plain + "\n\n") * 20_000 + "| name = {{{x}}}"), (9, likeness.replace("magic", "''magic''"))]
+    data = [(1, notice), (2, likeness), (3, plain), (4, None), (5, ""), (6, " \n\n "), (7, "Coming soon!"), (7, plain), (None, "Coming soon!"), (8, (plain + "\n\n") * 20_000 + "| name = {{{x}}}"), (9, likeness.replace("page", "''page''"))]
     df = spark.createDataFrame([(*r, "k", 1) for r in data], "id long, body string, key string, doc int")
     found = {r.id: r.kinds for r in residue.find_residue(df, key="id", text="body").collect()}
-    assert {1: ["script notice"], 7: ["filler"], 8: ["placeholder"]}.items() <= found.items()
-    assert set(found) <= {1, 2, 7, 8}
+    assert found == {1: ["script notice"], 2: ["script notice"], 7: ["filler"], 8: ["placeholder"]}
     assert residue.find_residue(df.limit(0), key="id", text="body").collect() == []
 
 
@@ -76,7 +117,7 @@ def test_label_reaches_near_duplicates_only(spark):
     words = [f"word{i}" for i in range(120)]
     seed = "access denied. " + " ".join(words)
     texts = {1: " ".join(words), 2: " ".join(words[:-1] + ["changed"]), 3: " ".join(words[:60])}
-    passages = spark.createDataFrame([(k, t, None, False) for k, t in texts.items()] + [(9, " ".join(words), "error", False)], "key long, folded string, kind string, explains boolean")
+    passages = spark.createDataFrame([(k, t, None, residue.OPEN) for k, t in texts.items()] + [(9, " ".join(words), "error", residue.OPEN)], "key long, folded string, kind string, role int")
     hashed = residue.with_simhash(passages)
     seeds = hashed.where("kind IS NOT NULL").select("key", "folded", "kind", "sim")
     for small in (True, False):
@@ -105,24 +146,30 @@ def test_every_pair_above_the_similarity_is_found(spark):
     hashes = residue.simhashes(texts)
     far = {n for n in want if all(bin((int(hashes[n]) ^ int(hashes[m])) & (1 << 64) - 1).count("1") > residue.HAMMING for m, k in enumerate(kinds) if k and alike(sets[n], sets[m]))}
     assert len(want) > 150 and len(far) > 50
-    hashed = residue.with_simhash(spark.createDataFrame([(n, t, k, False) for n, (t, k) in enumerate(zip(texts, kinds, strict=True))], "key long, folded string, kind string, explains boolean"))
+    hashed = residue.with_simhash(spark.createDataFrame([(n, t, k, residue.OPEN) for n, (t, k) in enumerate(zip(texts, kinds, strict=True))], "key long, folded string, kind string, role int"))
     seeds = hashed.where("kind IS NOT NULL").select("key", "folded", "kind", "sim")
     for small in (True, False):
         assert {r.key for r in residue.neighbours(seeds, hashed, small).collect()} == want
 
 
 def test_variants_of_a_notice_are_reached_by_masked_blocks(spark):
-    notice = "Something went wrong while the server at {} was sending page {} to you, and the keepers have been told about it by letter."
+    notice = "Forbidden: the server at {} has sent the page {} to the user but the content of the site is only for a reader with an account of the wiki and the pages of the app."
     stub = "The mill at {} stands by the river and has two wheels that turn from May to June every year since {} at least."
     texts = {
-        1: notice.format("Marton", 319), 2: notice.format("Upper Elton", "7,200").replace("Something", "Anything"), 3: notice.format("Elton", 7).replace("Something", "Anything").replace("page", "''page''"),
-        4: stub.format("Marton", 1730) + " Coming soon.", 5: stub.format("Elton", 1811), 6: "Before it.\n\n" + notice.format("Orreach", 5).replace("Something", "Anything") + "\n\nAfter it.",
+        1: notice.format("Marton", 319), 2: notice.format("Upper Elton", "7,200").replace("Forbidden", "Unlucky"), 3: notice.format("Elton", 7).replace("Forbidden", "Unlucky").replace("page", "''page''"),
+        4: stub.format("Marton", 1730) + " Coming soon.", 5: stub.format("Elton", 1811), 6: "Before it.\n\n" + notice.format("Orreach", 5).replace("Forbidden", "Unlucky") + "\n\nAfter it.",
     }
     assert not kinds(texts[2]) and kinds(texts[4]) == {"filler"}
     found = {r.id: r.kinds for r in residue.find_residue(spark.createDataFrame(list(texts.items()), "id long, body string"), key="id", text="body").collect()}
     assert found == {1: ["error"], 2: ["error"], 4: ["filler"], 6: ["error"]}
 
 
+def test_null_and_clashing_columns(spark):
+    df = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (3, "Coming soon!", "c"), (None, "Coming soon!", "d"), (3, "Coming soon!", "e")], "key long, folded string, kind string")
+    found = residue.find_residue(df, key="key", text="folded").collect()
+    assert [(r.key, r.kinds) for r in found] == [(3, ["filler"])]
+
+
 def test_stub_queries_are_listed():
     from quarry.llm import queries
 
