@@ -1,9 +1,10 @@
 """Distinct counts over identifier sets too large to hold, by hash-range decomposition.
 
 Identifiers are reduced to 64-bit hashes and deduplicated, with the groups they occur in, inside disjoint
-ranges of the hash. The groups of one identifier and period are a bit mask over the cells of the
-dimensions, so every combination of groups is counted exactly inside a range, and the ranges' counts add up.
-The deduplicated rows are the mergeable state: partials of other days or files are united and combined by OR.
+ranges of the hash. Groups are numbered once, every combination of dimension values and totals being one; the
+groups of one identifier and period are bits of (word, mask) rows, one row per 63 numbers that occur. Every
+combination is therefore counted exactly inside a range, and the ranges' counts add up. The deduplicated rows
+are the mergeable state: partials of other days or files are united and combined by OR.
 
 Error: only two identifiers with one hash are mistaken for one, on average ``n * n / 2**65`` of n; integers
 of up to 64 bits never collide.
@@ -11,62 +12,88 @@ of up to 64 bits never collide.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.schema import exact
+from quarry.session import durable
 
 #: Hash ranges are this many leading bits of the hash.
 RANGE_BITS = 10
-#: Bits of one mask column.
+#: Bits of one mask.
 WORD = 63
+#: A table of at most so many groups (counted before) is broadcast; a larger one is joined by shuffle.
+BROADCAST_GROUPS = 200_000
 
 
-def dimension_cells(df: DataFrame, dims: list[str]) -> list[tuple]:
-    """The distinct value tuples of ``dims`` (categories: their number, not the data's, bounds this list)."""
-    rows = exact(df, *dims).distinct().collect()
-    return sorted((tuple(r) for r in rows), key=lambda t: tuple((v is not None, v) for v in t))
+@dataclass(frozen=True)
+class Groups:
+    """The numbered combinations of some dimensions: ``labels(number, t0, d0, ...)`` and what each cell adds, ``entries(d0, ..., entries)``."""
 
+    dims: tuple[str, ...]
+    labels: DataFrame
+    entries: DataFrame
+    small: bool
 
-def partials(df: DataFrame, *, at: str, dims: list[str], ids: list[str], cells: list[tuple], period=F.to_date) -> DataFrame:
-    """``(bucket, field, hash, period, m0, m1, ...)``: one row per identifier and period (a function of ``at``).
+    def joined(self, rows: DataFrame, table: DataFrame, on) -> DataFrame:
+        return rows.join(F.broadcast(table) if self.small else table, on)
 
-    Bit i of the masks tells that the identifier occurs with ``cells[i]``. Null identifiers are not counted;
-    a null period or dimension value is a value of its own.
-    """
-    number = F.lit(None).cast("int")
-    for i, cell in enumerate(cells):
-        same = F.lit(True)
-        for name, value in zip(dims, cell, strict=True):
-            same = same & F.col(name).eqNullSafe(F.lit(value))
-        number = F.when(same, F.lit(i)).otherwise(number)
-    fields = F.array(*[F.struct(F.lit(c).alias("field"), F.when(F.col(c).isNotNull(), F.xxhash64(c)).alias("hash")) for c in ids])
-    rows = exact(df, at, *dims, *ids).select(period(F.col(at)).alias("period"), number.alias("cell"), F.explode(fields).alias("x"))
-    rows = rows.select("period", "cell", "x.field", "x.hash").where(F.col("hash").isNotNull())
-    masks = [
-        F.bit_or(F.expr(f"if(cell between {w * WORD} and {(w + 1) * WORD - 1}, shiftleft(1L, cell % {WORD}), 0L)")).alias(f"m{w}")
-        for w in range(_words(cells))
-    ]
-    bucket = F.shiftrightunsigned("hash", 64 - RANGE_BITS).cast("int").alias("bucket")
-    return rows.groupBy(bucket, "field", "hash", "period").agg(*masks)
 
+def number_groups(df: DataFrame, dims: list[str]) -> Groups:
+    """Number every combination of values and totals of ``dims`` that occurs in ``df`` (null is a value of its own).
 
-def _words(cells: list[tuple]) -> int:
-    return max(1, -(-len(cells) // WORD))
+    States can be merged if they were made with the same numbers; nothing of the tables is sent to the driver.
+    """
+    d = [f"d{i}" for i in range(len(dims))]
+    cells = exact(df, *dims).select(*[F.col(c).alias(x) for c, x in zip(dims, d, strict=True)]).distinct()
+    cells = durable(cells.select(*d, F.monotonically_increasing_id().alias("cell")))
+    combos = []
+    for totals in product((False, True), repeat=len(dims)):
+        flags = [F.lit(t).alias(f"t{i}") for i, t in enumerate(totals)]
+        values = [F.when(F.lit(not t), F.col(x)).alias(x) for t, x in zip(totals, d, strict=True)]
+        combos.append(F.struct(*flags, *values))
+    keys = [f"t{i}" for i in range(len(dims))] + d
+    spread = cells.select("cell", F.explode(F.array(*combos)).alias("c")).select("cell", "c.*")
+    # Sorted, so that the numbers of one partition follow each other and few words are touched.
+    labels = durable(spread.select(*keys).distinct().orderBy(*keys).select(F.monotonically_increasing_id().alias("number"), *keys))
+    small = labels.count() <= BROADCAST_GROUPS
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]
+    of_cell = spread.alias("s").join(labels.alias("l"), same).select("cell", F.expr(f"number div {WORD}").alias("word"), F.expr(f"shiftleft(1L, cast(number % {WORD} as int))").alias("mask"))
+    words = of_cell.groupBy("cell", "word").agg(F.bit_or("mask").alias("mask"))
+    entries = words.groupBy("cell").agg(F.collect_list(F.struct("word", "mask")).alias("entries"))
+    return Groups(tuple(dims), labels, durable(cells.join(entries, "cell").drop("cell")), small)
+
+
+def partials(df: DataFrame, *, at: str, ids: list[str], groups: Groups, period=F.to_date) -> DataFrame:
+    """``(bucket, field, hash, period, word, mask)``: the groups of every identifier and period (a function of ``at``).
+
+    Bit i of word w tells that the identifier occurs in group ``63 * w + i``. Null identifiers are not counted;
+    a null period or dimension value is a value of its own. Rows whose dimension values were not numbered are
+    left out. An identifier that holds a third of all rows shrinks to its few rows per task before the shuffle.
+    """
+    fields = F.array(*[F.struct(F.lit(c).alias("field"), F.when(F.col(f"`{c}`").isNotNull(), F.xxhash64(f"`{c}`")).alias("hash")) for c in ids])
+    d = [F.col(f"`{c}`").alias(f"d{i}") for i, c in enumerate(groups.dims)]
+    rows = exact(df, at, *groups.dims, *ids).select(period(F.col(f"`{at}`")).alias("period"), *d, fields.alias("fields"))
+    same = [F.col(f"r.d{i}").eqNullSafe(F.col(f"e.d{i}")) for i in range(len(groups.dims))]
+    rows = groups.joined(rows.alias("r"), groups.entries.alias("e"), same if same else F.lit(True)).select("period", "fields", "entries")
+    rows = rows.select("period", "entries", F.explode("fields").alias("x")).where(F.col("x.hash").isNotNull())
+    rows = rows.select("period", "x.field", "x.hash", F.explode("entries").alias("e")).select("period", "field", "hash", "e.word", "e.mask")
+    bucket = F.shiftrightunsigned("hash", 64 - RANGE_BITS).cast("int").alias("bucket")
+    return rows.groupBy(bucket, "field", "hash", "period", "word").agg(F.bit_or("mask").alias("mask"))
 
 
 def merge(state: DataFrame, *others: DataFrame, period: Column | None = None) -> DataFrame:
-    """The state of several states over the same cells, or of longer periods (``period`` maps the old one)."""
+    """The state of several states over the same groups, or of longer periods (``period`` maps the old one)."""
     for other in others:
         state = state.unionByName(other)
-    masks = [c for c in state.columns if c.startswith("m")]
     period = F.col("period") if period is None else period
-    return state.groupBy("bucket", "field", "hash", period.alias("period")).agg(*[F.bit_or(m).alias(m) for m in masks])
+    return state.groupBy("bucket", "field", "hash", period.alias("period"), "word").agg(F.bit_or("mask").alias("mask"))
 
 
-def counts(state: DataFrame, *, dims: list[str], ids: list[str], cells: list[tuple]) -> DataFrame:
+def counts(state: DataFrame, *, ids: list[str], groups: Groups) -> DataFrame:
     """``(period, all_<dim>, <dim>, ..., <id>s, error_bound)`` for every combination of values and totals that occurs.
 
     ``all_<dim>`` is true where the row is a total over that dimension (its value is then null). ``error_bound``
@@ -74,40 +101,17 @@ def counts(state: DataFrame, *, dims: list[str], ids: list[str], cells: list[tup
     hashes, hence than the expected loss of identifiers and (by Markov's inequality) than the probability that the
     count of any one field is not exact. An empty table gives no rows.
     """
-    masks = [f"m{w}" for w in range(_words(cells))]
-    # Exact counts inside each hash range, one row per range and mask, then added up.
-    per_range = state.groupBy("bucket", "period", "field", *masks).count()
-    per_mask = per_range.groupBy("period", "field", *masks).agg(F.sum("count").alias("n"))
-    combos: list[tuple[tuple, tuple, list[int]]] = []
-    for total in product((False, True), repeat=len(dims)):
-        groups: dict[tuple, list[int]] = {}
-        for i, cell in enumerate(cells):
-            groups.setdefault(tuple(None if t else v for t, v in zip(total, cell, strict=True)), []).append(i)
-        for values, members in groups.items():
-            words = [0] * len(masks)
-            for i in members:
-                words[i // WORD] |= 1 << (i % WORD)
-            combos.append((total, values, words))
-    if not combos:
-        combos.append(((True,) * len(dims), (None,) * len(dims), [0]))
-    hit = F.lit(False)
-    for w, mask in enumerate(masks):
-        hit = hit | (F.col(mask).bitwiseAND(F.col(f"w{w}")) != 0)
-    # Both sides are small: masks per period, and combinations of dimension values.
-    members = F.array(*[F.struct(F.lit(i).alias("combo"), *[F.lit(x).cast("long").alias(f"w{w}") for w, x in enumerate(words)]) for i, (_, _, words) in enumerate(combos)])
-    spread = per_mask.withColumn("c", F.explode(members)).select("period", "field", "n", *masks, "c.*").where(hit)
-    sums = [F.coalesce(F.sum(F.when(F.col("field") == c, F.col("n"))), F.lit(0)).alias(f"{c}s") for c in ids]
-    summed = spread.groupBy("period", "combo").agg(*sums)
-
-    def label(of) -> Column:
-        out = F.lit(None)
-        for i, combo in enumerate(combos):
-            out = F.when(F.col("combo") == i, F.lit(of(combo))).otherwise(out)
-        return out
-
+    # Exact counts inside each hash range, one row per range and mask, then added up: few rows leave this stage.
+    per_range = state.groupBy("bucket", "period", "field", "word", "mask").count()
+    per_mask = per_range.groupBy("period", "field", "word", "mask").agg(F.sum("count").alias("n"))
+    # Each mask is laid out into its own bits only.
+    bits = F.expr(f"filter(sequence(0, {WORD - 1}), i -> (shiftright(mask, i) & 1L) = 1L)")
+    spread = per_mask.select("period", "field", "n", "word", F.explode(bits).alias("bit")).select("period", "field", "n", (F.col("word") * WORD + F.col("bit")).alias("number"))
+    sums = [F.coalesce(F.sum(F.when(F.col("field") == c, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, c in enumerate(ids)]
+    labelled = groups.joined(spread.groupBy("period", "number").agg(*sums), groups.labels, "number")
     columns = []
-    for d, name in enumerate(dims):
-        columns += [label(lambda c, d=d: c[0][d]).alias(f"all_{name}"), label(lambda c, d=d: c[1][d]).alias(name)]
-    largest = F.greatest(*[F.col(f"{c}s") for c in ids]) if len(ids) > 1 else F.col(f"{ids[0]}s")
+    for i, name in enumerate(groups.dims):
+        columns += [F.col(f"t{i}").alias(f"all_{name}"), F.col(f"d{i}").alias(name)]
+    largest = F.greatest(*[F.col(f"n{i}") for i in range(len(ids))]) if len(ids) > 1 else F.col("n0")
     bound = (largest.cast("double") * largest / F.lit(2.0**65)).alias("error_bound")
-    return summed.select("period", *columns, *[f"{c}s" for c in ids], bound)
+    return labelled.select("period", *columns, *[F.col(f"n{i}").alias(f"{c}s") for i, c in enumerate(ids)], bound)

@@ -28,8 +28,8 @@ def brute(data, key):
     return {k: (len(x), len(y)) for k, (x, y) in out.items() if x or y}
 
 
-def counted(state, cells):
-    return {(r.period, r.all_kind, r.kind, r.all_optional, r.optional): (r["as"], r.bs) for r in distinct.counts(state, dims=DIMS, ids=IDS, cells=cells).collect()}
+def counted(state, groups):
+    return {(r.period, r.all_kind, r.kind, r.all_optional, r.optional): (r["as"], r.bs) for r in distinct.counts(state, ids=IDS, groups=groups).collect()}
 
 
 def test_counts_merge_and_coarsen(spark):
@@ -37,33 +37,44 @@ def test_counts_merge_and_coarsen(spark):
     pick = random.choice
     data = [(pick([None, dt.datetime(2025, 1, 30), dt.datetime(2025, 1, 31, 5), dt.datetime(2025, 2, 1)]), pick([0, 1, 2, None]), pick([True, False, None]), pick([None, *range(12)]), pick([None, "", "x", "y" * 50_000, "z"]), "h", 1) for _ in range(400)]
     df = frame(spark, data * 2)
-    cells = distinct.dimension_cells(df, DIMS)
-    make = lambda rows: distinct.partials(frame(spark, rows), at="at", dims=DIMS, ids=IDS, cells=cells)
+    groups = distinct.number_groups(df, DIMS)
+    make = lambda rows: distinct.partials(frame(spark, rows), at="at", ids=IDS, groups=groups)
     day = lambda t: t and t.date()
-    assert counted(make(data * 2), cells) == brute(data, day)
-    assert counted(distinct.merge(make(data[:150]), make(data[150:])), cells) == brute(data, day)
+    assert counted(make(data * 2), groups) == brute(data, day)
+    assert counted(distinct.merge(make(data[:150]), make(data[150:])), groups) == brute(data, day)
     months = distinct.merge(make(data), period=F.trunc("period", "month"))
-    assert counted(months, cells) == brute(data, lambda t: t and t.date().replace(day=1))
+    assert counted(months, groups) == brute(data, lambda t: t and t.date().replace(day=1))
 
 
 def test_many_cells_and_empty_table(spark):
     data = [(dt.datetime(2025, 1, 1), k, k % 2 == 0, i, None, "h", 1) for k in range(90) for i in range(k % 4)]
     df = frame(spark, data)
-    cells = distinct.dimension_cells(df, DIMS)
-    state = distinct.partials(df, at="at", dims=DIMS, ids=IDS, cells=cells)
-    assert len([c for c in state.columns if c.startswith("m")]) == 2
-    assert counted(state, cells) == brute(data, lambda t: t.date())
+    groups = distinct.number_groups(df, DIMS)
+    state = distinct.partials(df, at="at", ids=IDS, groups=groups)
+    assert state.select("word").distinct().count() >= 2
+    assert counted(state, groups) == brute(data, lambda t: t.date())
     empty = frame(spark, [])
-    assert distinct.dimension_cells(empty, DIMS) == []
-    assert counted(distinct.partials(empty, at="at", dims=DIMS, ids=IDS, cells=[]), []) == {}
+    none = distinct.number_groups(empty, DIMS)
+    assert none.labels.count() == 0 and counted(distinct.partials(empty, at="at", ids=IDS, groups=none), none) == {}
+
+
+def test_thousands_of_cells_are_planned_at_once(spark, monkeypatch):
+    data = [(dt.datetime(2025, 1, 1), k, [True, False, None][k % 3], i, str(k % 7), "h", 1) for k in range(2000) for i in (k % 5, k % 11)]
+    df = frame(spark, data)
+    for limit in (distinct.BROADCAST_GROUPS, 10):
+        monkeypatch.setattr(distinct, "BROADCAST_GROUPS", limit)
+        groups = distinct.number_groups(df, DIMS)
+        assert groups.small == (limit > 10)
+        state = distinct.partials(df, at="at", ids=IDS, groups=groups)
+        assert counted(state, groups) == brute(data, lambda t: t.date())
 
 
 def test_error_bound_is_not_rounded_away(spark):
     data = [(dt.datetime(2025, 1, 1), 0, True, i, f"b{i % 5}", "h", 1) for i in range(40)]
     df = frame(spark, data)
-    cells = distinct.dimension_cells(df, DIMS)
-    state = distinct.partials(df, at="at", dims=DIMS, ids=IDS, cells=cells)
-    bounds = {r.error_bound for r in distinct.counts(state, dims=DIMS, ids=IDS, cells=cells).collect()}
+    groups = distinct.number_groups(df, DIMS)
+    state = distinct.partials(df, at="at", ids=IDS, groups=groups)
+    bounds = {r.error_bound for r in distinct.counts(state, ids=IDS, groups=groups).collect()}
     assert bounds == {40 * 40 / 2**65}
 
 
