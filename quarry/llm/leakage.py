@@ -1,12 +1,15 @@
-"""Evaluation texts leaking into a corpus, by latent semantic retrieval and exact sequence checks.
-
-Texts become word sequences free of markup. A passage is BLOCK consecutive words; its TF-IDF vector (idf
-over all corpus passages) is projected on the leading singular directions of the evaluation passages,
-found by a distributed randomised SVD. Corpus passages do not overlap, evaluation passages start at every
-word, so a run of 2 * BLOCK shared words always contains a corpus passage whose vector equals that of an
-evaluation passage: the cosine search cannot miss it. Candidates are then decided on the words themselves,
-by a common run of min_run words. Longest common run, longest common subsequence and the item's answer are
-figures of the pairs found and decide nothing: paraphrases without such a run are not reported.
+"""Evaluation texts leaking into a corpus, by latent semantic retrieval and checks on the words themselves.
+
+Texts become word sequences free of markup. A passage is BLOCK consecutive words; its TF-IDF vector (a feature
+is a bucket of word hashes, idf over all corpus passages) is projected on the leading singular directions of
+the evaluation passages, found by a distributed randomised SVD. Corpus passages do not overlap, evaluation
+passages start at every word. An index finds candidates: hash tables of the sides of random planes on which
+the vectors lie, joined on their entries, and the cosine verifies them. Vectors are sums of whole numbers, so
+passages with equal words have equal entries: a run of 2 * BLOCK shared words always holds such a pair of
+passages, and no such run is missed.
+
+Candidates are decided on the words: leaks by a common run of min_run words, paraphrases by the longest common
+subsequence and the item's answer.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ import html
 import re
 import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +31,23 @@ from quarry.session import spread, written
 
 BLOCK = 6
 RANK, OVERSAMPLE, POWER = 64, 8, 2
-#: Least latent cosine of a candidate, and least share of a passage's squared weight on words any item has.
-COSINE = 0.98
-#: Evaluation items searched for together; further ones take further passes over the word table.
-ITEM_BLOCK = 2000
+#: Least latent cosine of a candidate for a common run, and for a paraphrase. A corpus passage that has less than the square
+#: of it (of its squared weight) on words of items cannot have it.
+COSINE, PARAPHRASE_COSINE = 0.98, 0.8
+#: Hash tables of the index, and planes of each.
+TABLES, BITS = 16, 18
+#: Greatest number in a vector's summand.
+SCALE = 1 << 13
+#: An index of at most so many entries (counted before, about 60 bytes each) is broadcast; a larger one is joined by shuffle.
+BROADCAST_ENTRIES = 1_000_000
+#: Items of so many words in all (counted before) are sent to every task to be compared; more are joined to the documents pair by pair.
+BROADCAST_WORDS = 2_000_000
+#: What stands for words beyond the ends of an item and of a text.
+NO_ITEM, NO_TEXT = -(1 << 31), (1 << 31) - 1
+#: Features of one piece of a product.
+PIECE = 4096
+#: Share of an item's words in order that makes a paraphrase if the answer is there too, and if it is not.
+COMMON, SURE = 0.6, 0.8
 #: Document frequencies are counted per bucket of word hashes (a shared bucket only lowers an idf).
 DF_BUCKETS = 1 << 16
 CACHED_WORDS = 500_000
@@ -152,38 +169,162 @@ def document_frequencies(ids: DataFrame) -> tuple[np.ndarray, int]:
     return counts, passages
 
 
-def vectors(blocks: np.ndarray, weight: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    """Unit latent vectors of passages given as rows of vocabulary numbers (the last row of ``basis`` is zero)."""
-    out = np.zeros((len(blocks), basis.shape[1]), np.float32)
-    for k in range(blocks.shape[1]):
-        out += weight[blocks[:, k], None] * basis[blocks[:, k]]
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+def _around(flat: np.ndarray, offsets: np.ndarray, starts: np.ndarray, row: np.ndarray, margin: int, none: int) -> np.ndarray:
+    """The words of passages with ``margin`` words on both sides, ``none`` beyond the text."""
+    place = starts[:, None] + np.arange(-margin, BLOCK + margin)
+    inside = (place >= offsets[:-1][row][:, None]) & (place < offsets[1:][row][:, None])
+    return np.where(inside, flat[np.clip(place, 0, max(0, len(flat) - 1))], none).astype(np.int32)
 
 
-def randomised_svd(passages: DataFrame, weight: np.ndarray, size: int, rank: int) -> np.ndarray:
-    """Leading right singular directions (size x rank) of the TF-IDF rows in ``passages(block array<int>)``.
+def item_passages(ids: DataFrame, margin: int) -> DataFrame:
+    """``(item, block, around)``: the passages of the items, from every word on, and those with the words on both sides."""
 
-    Every partition multiplies its rows with the current directions and sends one size x rank product;
-    ``size`` is the vocabulary of one block of evaluation items, so these stay small whatever the corpus.
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, offsets = _flat(batch.column(1))
+            counts = np.maximum(np.diff(offsets) - BLOCK + 1, 0)
+            row = np.repeat(np.arange(len(counts)), counts)
+            starts = offsets[:-1][row] + np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+            blocks, around = (_around(flat, offsets, starts, row, m, NO_ITEM) for m in (0, margin))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), _listed(blocks), _listed(around)], ["item", "block", "around"])
+
+    return ids.select("doc", "ids").mapInArrow(split, "item long, block array<int>, around array<int>").distinct()
+
+
+def _listed(rows: np.ndarray) -> pa.ListArray:
+    """A two-dimensional array as a list array."""
+    width = rows.shape[1]
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, width, dtype=np.int32)), pa.array(rows.ravel()))
+
+
+def randomised_svd(passages: DataFrame, weight: np.ndarray, place: np.ndarray, rank: int) -> np.ndarray:
+    """Leading right singular directions of the TF-IDF rows in ``passages(block array<int>)``, a row per feature and an empty one.
+
+    A feature is a bucket of word hashes, ``place`` its row. Every partition multiplies its rows with the
+    current directions and sends the product in pieces of PIECE features, which are summed by a second stage;
+    the driver sees the sum alone: at most DF_BUCKETS x (rank + OVERSAMPLE) numbers, whatever the tables hold.
     """
+    size = int(place.max())
     width = min(size, rank + OVERSAMPLE)
     directions = np.linalg.qr(np.random.default_rng(0).standard_normal((size, width)))[0]
     for _ in range(POWER + 1):
 
-        def multiply(batches: Iterator[pa.RecordBatch], directions: np.ndarray = directions) -> Iterator[pa.RecordBatch]:
+        def multiply(batches: Iterator[pa.RecordBatch], directions: np.ndarray = np.vstack([directions, np.zeros((1, width))])) -> Iterator[pa.RecordBatch]:
             total = np.zeros_like(directions)
             for batch in batches:
-                block = _flat(batch.column(0))[0].reshape(-1, BLOCK)
-                product = sum(weight[block[:, k], None] * directions[block[:, k]] for k in range(BLOCK))
+                buckets = _flat(batch.column(0))[0].reshape(-1, BLOCK) & (DF_BUCKETS - 1)
+                block = place[buckets]
+                product = sum(weight[buckets[:, k], None] * directions[block[:, k]] for k in range(BLOCK))
                 for k in range(BLOCK):
-                    np.add.at(total, block[:, k], weight[block[:, k], None] * product)
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["product"])
+                    np.add.at(total, block[:, k], weight[buckets[:, k], None] * product)
+            pieces = [total[at : at + PIECE] for at in range(0, size, PIECE)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int32()), pa.array([p.tobytes() for p in pieces], pa.binary())], ["piece", "product"])
 
-        rows = passages.mapInArrow(multiply, "product binary").collect()
-        product = sum(np.frombuffer(r[0], np.float64).reshape(size, width) for r in rows)
-        left, _, _ = np.linalg.svd(product, full_matrices=False)
-        directions = left
-    return directions[:, : min(rank, width)]
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for piece, product in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    part = np.frombuffer(product, np.float64)
+                    sums[piece] = sums[piece] + part if piece in sums else part
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([p.tobytes() for p in sums.values()], pa.binary())], ["piece", "product"])
+
+        kind = "piece int, product binary"
+        rows = passages.select("block").mapInArrow(multiply, kind).repartition(-(-size // PIECE), "piece").mapInArrow(add, kind).collect()
+        product = np.concatenate([np.frombuffer(r.product, np.float64) for r in sorted(rows)]).reshape(-1, width)[:size]
+        directions = np.linalg.svd(product, full_matrices=False)[0]
+    return np.vstack([directions[:, : min(rank, width)], np.zeros((1, min(rank, width)))])
+
+
+@dataclass(frozen=True)
+class Space:
+    """The latent space: what every word bucket weighs and adds, in whole numbers, so that sums are exact in any order."""
+
+    squares: np.ndarray
+    place: np.ndarray
+    basis: np.ndarray
+
+    def latent(self, blocks: np.ndarray) -> np.ndarray:
+        """Vectors (whole numbers) of passages given as rows of word hashes."""
+        block = self.place[blocks & (DF_BUCKETS - 1)]
+        return sum(self.basis[block[:, k]] for k in range(BLOCK))
+
+    def codes(self, latent: np.ndarray, tables: int) -> np.ndarray:
+        """The entries of vectors in ``tables`` hash tables: the sides of BITS random planes each on which they lie."""
+        planes = np.random.default_rng(1).choice(np.array([-1, 1], np.float32), (self.basis.shape[1], TABLES * BITS))[:, : tables * BITS]
+        # Sums of whole numbers below 2 ** 24: equal passages have equal codes, however they are batched.
+        sides = (latent @ planes >= 0).reshape(len(latent), tables, BITS)
+        return sides @ (1 << np.arange(BITS, dtype=np.int64))
+
+
+def fit_space(corpus: DataFrame, passages: DataFrame) -> Space:
+    """The space of the items' passages, weighted by how rare words are in all corpus passages."""
+    counts, number = document_frequencies(corpus)
+    # At most DF_BUCKETS rows.
+    used = passages.select(F.explode("block").alias("word")).select(F.col("word").bitwiseAND(F.lit(DF_BUCKETS - 1)).alias("bucket")).distinct().collect()
+    place = np.full(DF_BUCKETS, len(used), np.int32)
+    place[np.array([r.bucket for r in used], np.int64)] = np.arange(len(used), dtype=np.int32)
+    idf = np.log((1 + number) / (1 + counts)) + 1
+    basis = randomised_svd(passages, idf, place, RANK)
+    weight = np.append(idf[[r.bucket for r in used]], 0.0)
+    scaled = np.rint(weight[:, None] * basis * (SCALE / max(1e-12, np.abs(weight[:, None] * basis).max())))
+    return Space((idf**2).astype(np.float32), place, scaled.astype(np.float32))
+
+
+def candidates(corpus: DataFrame, passages: DataFrame, space: Space, cosine: float, tables: int, min_run: int) -> DataFrame:
+    """``(doc, item)``: pairs with a passage each whose latent vectors have at least this cosine, sought in ``tables`` tables.
+
+    Both sides meet in the entries of the tables only. Passages with equal words have equal entries, so those
+    are never missed; of others at a cosine of 0.9 one table finds 0.06 (and a pair has many passages). With a
+    ``min_run`` only pairs are left whose words agree that far around the passages.
+    """
+    known, margin = len(space.basis) - 1, max(0, min_run - 1)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blocks = _flat(batch.column(1))[0].reshape(-1, BLOCK)
+            yield pa.RecordBatch.from_arrays([*batch.columns, _listed(space.codes(space.latent(blocks), tables))], ["item", "block", "other", "codes"])
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, offsets = _flat(batch.column(1))
+            starts, row = corpus_blocks(offsets)
+            if not len(starts):
+                continue
+            buckets = flat & (DF_BUCKETS - 1)
+            mass = space.squares[buckets]
+            held = np.where(space.place[buckets] < known, mass, 0)
+            span = starts[:, None] + np.arange(BLOCK)
+            kept = held[span].sum(axis=1) >= cosine**2 * mass[span].sum(axis=1)
+            around = _around(flat, offsets, starts[kept], row[kept], margin, NO_TEXT)
+            # Equal passages of one document need one search.
+            found = np.unique(np.column_stack([row[kept], around]), axis=0)
+            for at in range(0, len(found), 4096):
+                part = found[at : at + 4096]
+                docs = batch.column(0).take(pa.array(part[:, 0]))
+                words = part[:, 1:].astype(np.int32)
+                codes = space.codes(space.latent(words[:, margin : margin + BLOCK]), tables)
+                yield pa.RecordBatch.from_arrays([docs, _listed(words), _listed(codes)], ["doc", "around", "codes"])
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (_flat(batch.column(i))[0].reshape(batch.num_rows, -1) for i in (1, 2))
+            middle = slice(margin, margin + BLOCK)
+            x, y = (space.latent(w[:, middle]).astype(np.float64) for w in (a, b))
+            alike = (x * y).sum(axis=1) >= (cosine - 1e-9) * np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1))
+            if min_run:
+                same = a == b
+                back = np.cumprod(same[:, :margin][:, ::-1], axis=1).sum(axis=1)
+                on = np.cumprod(same[:, margin + BLOCK :], axis=1).sum(axis=1)
+                alike &= same[:, middle].all(axis=1) & (back + BLOCK + on >= min_run)
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(alike)) for c in (batch.column(0), batch.column(3))], ["doc", "item"])
+
+    entries = written(passages.mapInArrow(encode, "item long, block array<int>, other array<int>, codes array<long>"), "index")
+    small = entries.count() * tables <= BROADCAST_ENTRIES
+    index = entries.select("item", "other", F.posexplode("codes").alias("table", "code"))
+    sought = corpus.select("doc", "ids").mapInArrow(split, "doc long, around array<int>, codes array<long>")
+    sought = sought.select("doc", "around", F.posexplode("codes").alias("table", "code"))
+    met = sought.join(F.broadcast(index) if small else index, ["table", "code"]).select("doc", "around", "other", "item")
+    return met.mapInArrow(near, "doc long, item long").distinct()
 
 
 def longest_run(a: np.ndarray, b: np.ndarray) -> int:
@@ -207,110 +348,127 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
     return int(held[-1])
 
 
+def likeliest_part(item: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """The part of a text, half as long again as the item, that holds most of the item's words, each counted by its rarity in the text."""
+    width = len(item) + len(item) // 2
+    if len(text) <= width:
+        return text
+    values, place, often = np.unique(text, return_inverse=True, return_counts=True)
+    worth = np.where(np.isin(values, item), 1.0 / often, 0.0)[place]
+    sums = np.concatenate([[0.0], np.cumsum(worth)])
+    start = int(np.argmax(sums[width:] - sums[:-width]))
+    return text[start : start + width]
+
+
 _FOUND = "doc long, item long, run int, common int, item_words int, answer boolean"
 
 
+def _decide(pairs: DataFrame, corpus: DataFrame, items: DataFrame, min_run: int) -> DataFrame:
+    """The figures of candidate pairs, from the words themselves."""
+
+    def figures(doc: int, text: np.ndarray, item: int, asked: np.ndarray, reply: np.ndarray | None) -> tuple | None:
+        if min_run and not _shares_run(asked, text, min_run):
+            return None
+        part = likeliest_part(asked, text)
+        # No more words can be common in order than the part has of the item's.
+        if not min_run and np.isin(asked, part).sum() < COMMON * len(asked):
+            return None
+        common = common_subsequence(asked, part)
+        if not min_run and common < COMMON * len(asked):
+            return None
+        answered = None if reply is None or not len(reply) else bool(np.isin(reply, text if min_run else part).all())
+        return doc, item, longest_run(asked, text), common, len(asked), answered
+
+    def frame(rows: list[tuple | None]) -> pa.RecordBatch:
+        columns = list(zip(*[r for r in rows if r], strict=True)) or [()] * 6
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc", "item", "run", "common", "item_words", "answer"])
+
+    def by_pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (flat, ends), (other, other_ends) = _flat(batch.column(1)), _flat(batch.column(3))
+            replies = batch.column(4).to_pylist()
+            numbers = zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)
+            yield frame([
+                figures(doc, flat[ends[r] : ends[r + 1]], item, other[other_ends[r] : other_ends[r + 1]], None if replies[r] is None else np.array(replies[r], np.int32))
+                for r, (doc, item) in enumerate(numbers)
+            ])
+
+    asked = items.select(F.col("doc").alias("item"), F.col("ids").alias("item_ids"), "answer_ids")
+    words = items.select(F.sum(F.size("ids") + F.coalesce(F.size("answer_ids"), F.lit(0)))).first()[0] or 0
+    if words <= BROADCAST_WORDS:
+        # So many words at most; a document meets the list of its items, and is moved once.
+        texts: dict[int, list[tuple]] = {}
+        for r in asked.collect():
+            texts.setdefault(r.item, []).append((np.array(r.item_ids, np.int32), None if r.answer_ids is None else np.array(r.answer_ids, np.int32)))
+
+        def by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                flat, ends = _flat(batch.column(1))
+                numbers = zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)
+                yield frame([figures(doc, flat[ends[r] : ends[r + 1]], item, *of) for r, (doc, sought) in enumerate(numbers) for item in sought for of in texts[item]])
+
+        lists = pairs.groupBy("doc").agg(F.collect_set("item").alias("sought"))
+        found = corpus.join(lists, "doc").select("doc", "ids", "sought").mapInArrow(by_document, _FOUND)
+    else:
+        found = pairs.join(asked, "item").join(corpus, "doc").select("doc", "ids", "item", "item_ids", "answer_ids").mapInArrow(by_pair, _FOUND)
+    return found.groupBy("doc", "item").agg(*[F.max(c).alias(c) for c in ("run", "common", "item_words", "answer")])
+
+
+def _shares_run(a: np.ndarray, b: np.ndarray, length: int) -> bool:
+    """Whether both have a run of so many words in common."""
+    if min(len(a), len(b)) < length:
+        return False
+    runs = {a[at : at + length].tobytes() for at in range(len(a) - length + 1)}
+    starts = np.flatnonzero(np.isin(b[: len(b) - length + 1], a))
+    return any(b[at : at + length].tobytes() in runs for at in starts)
+
+
+def _search(documents: DataFrame, items: DataFrame, key: str, text: str, item: str, item_text: str, answer: str | None, least: int, cosine: float, tables: int, min_run: int) -> DataFrame:
+    corpus = written(word_ids(documents, key, text), "words")
+    asked = word_ids(items, item, item_text).where(F.size("ids") >= least)
+    if answer:
+        replies = word_ids(items, item, answer).select(F.col("doc").alias("reply"), F.col("ids").alias("answer_ids"))
+        asked = asked.join(replies, F.col("doc") == F.col("reply"), "left").drop("reply")
+    else:
+        asked = asked.withColumn("answer_ids", F.lit(None).cast("array<int>"))
+    asked = written(asked, "items")
+    passages = written(item_passages(asked, max(0, min_run - 1)), "passages")
+    if passages.isEmpty():
+        return documents.sparkSession.createDataFrame([], _FOUND)
+    pairs = candidates(corpus, passages, fit_space(corpus, passages), cosine, tables, min_run)
+    return _decide(pairs, corpus, asked, min_run)
+
+
+def _named(found: DataFrame, key: str, item: str) -> DataFrame:
+    return found.select(F.col("doc").alias(key), F.col("item").alias(item), "run", "common", "item_words", "answer")
+
+
 def find_leaks(documents: DataFrame, items: DataFrame, *, key: str, text: str, item: str, item_text: str, answer: str | None = None, min_run: int = 2 * BLOCK) -> DataFrame:
     """``(key, item, run, common, item_words, answer)`` per document and item that share ``min_run`` words in a row.
 
-    ``run`` is the longest common run, ``common`` the longest common subsequence, ``item_words`` the words of
-    the item, ``answer`` whether all words of the item's answer occur in the document (null without one).
-    ``min_run`` must be at least 2 * BLOCK - 1. Null, empty and blank texts and items with fewer than
-    ``min_run`` words share nothing; rows of null key are left out. Documents of equal key are searched one
-    by one and reported once, with their largest figures. Empty tables give no rows; other columns are not read.
+    ``run`` is the longest common run, ``common`` the longest common subsequence within the likeliest part of
+    the document, ``item_words`` the words of the item, ``answer`` whether all words of the item's answer occur
+    in the document (null without one). ``min_run`` must be at least 2 * BLOCK - 1: such a run always holds a
+    whole corpus passage, whose vector equals that of an item passage. Null, empty and blank texts and items
+    with fewer than ``min_run`` words share nothing; rows of null key are left out. Documents of equal key are
+    searched one by one and reported once, with their largest figures; so are items. Empty tables give no
+    rows; other columns are not read.
     """
     if min_run < 2 * BLOCK - 1:
         raise ValueError(f"runs under {2 * BLOCK - 1} words need a smaller BLOCK")
-    answers = F.col(answer).cast("string") if answer else F.lit(None).cast("string")
-    items = exact(items, item, item_text, *([answer] if answer else [])).select(F.col(item).cast("long").alias("item"), F.col(item_text).alias("text"), answers.alias("answer")).where("item IS NOT NULL AND text IS NOT NULL")
-    ids = written(word_ids(documents, key, text), "words")
-    counts, passages = document_frequencies(ids)
-    parts = max(1, -(-items.count() // ITEM_BLOCK))
-    found = None
-    for part in range(parts):
-        # At most about ITEM_BLOCK items.
-        rows = items.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == part).collect()
-        new = _search(ids, [tuple(r) for r in rows], counts, passages, min_run)
-        found = new if found is None else found.unionByName(new)
-    figures = [F.max(c).alias(c) for c in ("run", "common", "item_words", "answer")]
-    return found.groupBy("doc", "item").agg(*figures).select(F.col("doc").alias(key), F.col("item").alias(item), "run", "common", "item_words", "answer")
-
-
-def _search(ids: DataFrame, items: list[tuple], counts: np.ndarray, passages: int, min_run: int) -> DataFrame:
-    spark = ids.sparkSession
-    number = lambda w: xxhash.xxh32_intdigest(w) - (1 << 31)
-    sequences = [(i, np.array([number(w) for w in words(t)], np.int32), np.array([number(w) for w in words(a)], np.int32) if a else None) for i, t, a in items]
-    sequences = [s for s in sequences if len(s[1]) >= min_run]
-    if not sequences:
-        return spark.createDataFrame([], _FOUND)
-    vocabulary = np.unique(np.concatenate([s for _, s, _ in sequences]))
-    size = len(vocabulary)
-    idf = np.log((1 + passages) / (1 + counts)) + 1
-    weight = np.append(idf[vocabulary & (DF_BUCKETS - 1)], 0.0)
-    blocks, owner = [], []
-    for at, (_, sequence, _) in enumerate(sequences):
-        known = np.searchsorted(vocabulary, sequence)
-        starts = np.arange(len(sequence) - BLOCK + 1)
-        blocks.append(known[starts[:, None] + np.arange(BLOCK)])
-        owner.append(np.full(len(starts), at))
-    block, owner = np.concatenate(blocks).astype(np.int32), np.concatenate(owner)
-    listed = pa.ListArray.from_arrays(pa.array(np.arange(0, block.size + 1, BLOCK, dtype=np.int32)), pa.array(block.ravel()))
-    frame = spark.createDataFrame(pa.table({"block": listed})).repartition(min(8, 1 + len(block) // 5000))
-    basis = randomised_svd(frame, weight, size, RANK)
-    basis = np.vstack([basis, np.zeros((1, basis.shape[1]))]).astype(np.float32)
-    weight32 = weight.astype(np.float32)
-    # Equal passages of one item and equal word bags need one row; the first item of each is extended by `members`.
-    unique, place = np.unique(block, axis=0, return_inverse=True)
-    place = place.ravel()
-    order = np.argsort(place, kind="stable")
-    members = np.split(owner[order], np.cumsum(np.bincount(place))[:-1])
-    latent = vectors(unique, weight32, basis)
-    grams: dict[bytes, set[int]] = {}
-    for at, (_, sequence, _) in enumerate(sequences):
-        for start in range(len(sequence) - min_run + 1):
-            grams.setdefault(sequence[start : start + min_run].tobytes(), set()).add(at)
+    found = _search(documents, items, key, text, item, item_text, answer, min_run, COSINE, 1, min_run)
+    return _named(found, key, item)
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squares = idf.astype(np.float32) ** 2
-        for batch in batches:
-            flat, offsets = _flat(batch.column(1))
-            docs = batch.column(0).to_pylist()
-            starts, row = corpus_blocks(offsets)
-            if not len(starts):
-                continue
-            place = np.searchsorted(vocabulary, flat)
-            known = place < size
-            known[known] = vocabulary[place[known]] == flat[known]
-            place[~known] = size
-            mass = squares[flat & (DF_BUCKETS - 1)]
-            span = starts[:, None] + np.arange(BLOCK)
-            share = (mass * known)[span].sum(axis=1) / mass[span].sum(axis=1)
-            kept = share >= COSINE**2
-            query, query_row = place[span[kept]], row[kept]
-            candidates: set[tuple[int, int]] = set()
-            for at in range(0, len(query), 512):
-                cosine = vectors(query[at : at + 512], weight32, basis) @ latent.T
-                for q, hit in zip(*np.nonzero(cosine >= COSINE), strict=True):
-                    candidates.update((int(query_row[at + q]), int(m)) for m in members[hit])
-            out = []
-            by_row: dict[int, set[int]] = {}
-            for r, m in candidates:
-                by_row.setdefault(r, set()).add(m)
-            for r, wanted in by_row.items():
-                sequence = flat[offsets[r] : offsets[r + 1]]
-                shared: set[int] = set()
-                for start in range(len(sequence) - min_run + 1):
-                    shared |= grams.get(sequence[start : start + min_run].tobytes(), _NONE) & wanted
-                for m in shared:
-                    number, words_of, answer_words = sequences[m]
-                    answered = None if answer_words is None or not len(answer_words) else bool(np.isin(answer_words, sequence).all())
-                    out.append((docs[r], number, longest_run(words_of, sequence), common_subsequence(words_of, sequence), len(words_of), answered))
-            if out:
-                columns = list(zip(*out, strict=True))
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc", "item", "run", "common", "item_words", "answer"])
-
-    return ids.select("doc", "ids").mapInArrow(split, _FOUND)
-
-
-_NONE: frozenset[int] = frozenset()
+
+def find_paraphrases(documents: DataFrame, items: DataFrame, *, key: str, text: str, item: str, item_text: str, answer: str | None = None) -> DataFrame:
+    """The same columns per document and item whose text the document repeats, reworded or not.
+
+    Candidates are passages of a latent cosine of PARAPHRASE_COSINE or more. A pair is one if the likeliest part of the document
+    has COMMON of the item's words in order and the words of its answer, or, where the answer is unknown or
+    not given away, SURE of them. ``answer`` looks at that part only. The search is approximate; nulls, repeated
+    keys, empty tables and other columns as in `find_leaks`, items under 2 * BLOCK words are left out.
+    """
+    found = _search(documents, items, key, text, item, item_text, answer, 2 * BLOCK, PARAPHRASE_COSINE, TABLES, 0)
+    share = F.col("common") / F.col("item_words")
+    return _named(found.where((share >= SURE) | (F.col("answer") & (share >= COMMON))), key, item)

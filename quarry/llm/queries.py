@@ -77,16 +77,24 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p9_items(spark: SparkSession, folder: str) -> DataFrame:
-    """Which items leaked: in how many documents, the longest run, and the largest share of the item in one document. Items only leaked reworded are no case."""
+    """Which items leaked: in how many documents, the longest run, and the largest share of the item in one document. Items only leaked reworded are in `p9_paraphrases`."""
     share = F.round(F.max(F.col("common") / F.col("item_words")), 6).alias("largest_share")
     return _leaks(spark, folder).groupBy("item_id").agg(F.count("*").alias("documents"), F.max("run").alias("longest_run"), share)
 
 
+def p9_paraphrases(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that repeat an item, reworded or not: decided by the longest common subsequence and the answer."""
+    return leakage.find_paraphrases(
+        read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"),
+        key="doc_id", text="text", item="item_id", item_text="text", answer="answer",
+    ).select("doc_id", "item_id", "run", "common", "item_words", "answer")
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return residue.find_residue(read_table(spark, folder, "documents"), key="doc_id", text="text").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_daily, p1_monthly, p1_bounds, p1_state, p4_found, p8_ids, p9_found, p9_items, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_daily, p1_monthly, p1_bounds, p1_state, p4_found, p8_ids, p9_found, p9_items, p9_paraphrases, p10_found)}
 
 _COUNTS = """
 WITH edges AS (SELECT strftime(recorded_at, '{0}') AS {1}, kind, optional, parent_crate_id, dep_crate_name FROM crates_dependencies),

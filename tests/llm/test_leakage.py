@@ -57,8 +57,11 @@ def test_empty_tables(spark):
         found(spark, [doc(1, ITEM)], [(1, ITEM, None)], min_run=8)
 
 
-def test_every_offset_and_many_items_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(L, "ITEM_BLOCK", 15)
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_every_offset_and_many_items_against_brute_force(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(L, "BROADCAST_ENTRIES", 0)
+        monkeypatch.setattr(L, "BROADCAST_WORDS", 0)
     random.seed(11)
     vocabulary = [f"w{i}" for i in range(120)]
     items = [(i, " ".join(random.choices(vocabulary, k=random.randint(10, 40))), None) for i in range(40)]
@@ -83,16 +86,78 @@ def test_sequence_measures():
     assert L.longest_run(a, a) == 5 and L.common_subsequence(a, np.array([7])) == 0
 
 
-def test_singular_directions_match_numpy(spark):
+def test_singular_directions_match_numpy(spark, monkeypatch):
     import pyarrow as pa
 
+    monkeypatch.setattr(L, "PIECE", 7)
     rng = np.random.default_rng(1)
     block = (rng.zipf(1.7, (400, L.BLOCK)) % 30).astype(np.int32)
-    weight = np.append(rng.uniform(1, 3, 30), 0.0)
-    listed = pa.ListArray.from_arrays(pa.array(np.arange(0, block.size + 1, L.BLOCK, dtype=np.int32)), pa.array(block.ravel()))
-    basis = L.randomised_svd(spark.createDataFrame(pa.table({"block": listed})).repartition(3), weight, 30, 5)
+    weight, place = np.zeros(L.DF_BUCKETS), np.full(L.DF_BUCKETS, 30, np.int32)
+    weight[:30], place[:30] = rng.uniform(1, 3, 30), np.arange(30)
+    basis = L.randomised_svd(spark.createDataFrame(pa.table({"block": L._listed(block)})).repartition(3), weight, place, 5)
+    assert basis.shape == (31, 5) and not basis[30].any()
     matrix = np.zeros((400, 30))
     for k in range(L.BLOCK):
         np.add.at(matrix, (np.arange(400), block[:, k]), weight[block[:, k]])
     right = np.linalg.svd(matrix)[2][:5]
-    assert np.linalg.norm(matrix @ basis) == pytest.approx(np.linalg.norm(matrix @ right.T), rel=1e-3)
+    assert np.linalg.norm(matrix @ basis[:30]) == pytest.approx(np.linalg.norm(matrix @ right.T), rel=1e-3)
+
+
+def test_equal_words_have_equal_codes_in_any_batch():
+    rng = np.random.default_rng(5)
+    place = np.arange(L.DF_BUCKETS, dtype=np.int32) % 500
+    space = L.Space(np.ones(L.DF_BUCKETS, np.float32), place, np.rint(rng.uniform(-L.SCALE, L.SCALE, (501, 64))).astype(np.float32))
+    blocks = rng.integers(0, 10**6, (3000, L.BLOCK)).astype(np.int32)
+    whole = space.codes(space.latent(blocks), L.TABLES)
+    order = rng.permuted(blocks, axis=1)
+    for at in range(0, 3000, 37):
+        assert (space.codes(space.latent(order[at : at + 37]), L.TABLES) == whole[at : at + 37]).all()
+
+
+def reworded(rng, words, every, vocabulary):
+    """Every so many words another one, and here and there one word more or less."""
+    out = []
+    for n, w in enumerate(words):
+        if n % every == every - 1:
+            out.append(rng.choice(vocabulary))
+            if rng.random() < 0.3:
+                out.append(rng.choice(vocabulary))
+        elif rng.random() > 0.02:
+            out.append(w)
+    return out
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_planted_paraphrases_are_found(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(L, "BROADCAST_ENTRIES", 0)
+        monkeypatch.setattr(L, "BROADCAST_WORDS", 0)
+    rng = random.Random(17)
+    vocabulary = [f"w{int(1500 * rng.random() ** 3)}" for _ in range(4000)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(50, 90))) + f" answer{i}", f"answer{i}") for i in range(60)]
+    docs, planted = [], set()
+    for d in range(400):
+        around = [rng.choices(vocabulary, k=rng.randint(0, 300)) for _ in range(2)]
+        middle = []
+        if d % 3 == 0:
+            i, text, _ = rng.choice(items)
+            middle = reworded(rng, text.split(), rng.choice([4, 5, 7, 10]), vocabulary) + ([f"answer{i}"] if d % 2 else [])
+            planted.add((d, i))
+        docs.append(doc(d, " ".join(around[0] + middle + around[1])))
+    d = spark.createDataFrame(docs, "doc_id long, text string, item long, ids string")
+    i = spark.createDataFrame(items, "item_id long, text string, answer string")
+    got = {(r.doc_id, r.item_id): r for r in L.find_paraphrases(d, i, key="doc_id", text="text", item="item_id", item_text="text", answer="answer").collect()}
+    sequences = {n: t.split() for n, t, *_ in docs}
+    asked = {n: t.split() for n, t, _ in items}
+    number = {w: n for n, w in enumerate({w for s in [*sequences.values(), *asked.values()] for w in s})}
+    coded = lambda s: np.array([number[w] for w in s], np.int32)
+    true = set()
+    for a in sequences:
+        for b in asked:
+            part = L.likeliest_part(coded(asked[b]), coded(sequences[a]))
+            share = L.common_subsequence(coded(asked[b]), part) / len(asked[b]) if len(part) else 0
+            if share >= L.SURE or (share >= L.COMMON and number[f"answer{b}"] in part):
+                true.add((a, b))
+    assert len(true & planted) >= 0.5 * len(planted) and true <= planted | true
+    assert set(got) <= true and len(got) >= 0.9 * len(true), (len(got), len(true), len(planted))
+    assert any(r.run < 12 for r in got.values())
