@@ -106,16 +106,11 @@ def orphan_references(
         exact(removals, r_id, r_name, r_gone).select(F.col(r_id).alias("id"), F.col(r_name).alias("name"), F.col(r_gone).alias("gone")),
     )
     keys = rows.groupBy("key").agg(F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.count("*").alias("n"))
-    known = facts.where("known")
-    missing = keys.join(known, "key", "left_anti").select(
-        "key", "n", F.lit(True).alias("missing"), F.lit(None).cast("timestamp_ntz").alias("since"), F.lit(None).cast("timestamp_ntz").alias("gone")
-    )
-    untimely = (
-        keys.join(known, "key")
-        .where((F.col("since") > F.col("first_at")) | (F.col("gone") <= F.col("last_at")))
-        .select("key", "n", F.lit(False).alias("missing"), "since", "gone")
-    )
-    offenders = written(missing.unionByName(untimely), "offenders")
+    # One outer join tells both: what it leaves without a known parent is the anti-join, dates tell the rest.
+    joined = keys.join(facts.where("known").drop("known").withColumn("held", F.lit(True)), "key", "left")
+    missing = F.col("held").isNull()
+    untimely = (F.col("since") > F.col("first_at")) | (F.col("gone") <= F.col("last_at"))
+    offenders = written(joined.where(missing | untimely).select("key", "n", missing.alias("missing"), "since", "gone"), "offenders")
     hot = F.broadcast(offenders.orderBy(F.desc("n"), "key").limit(HOT_KEYS).select("key", F.lit(True).alias("hot")))
     salted = rows.join(hot, "key", "left").withColumn(
         "salt", F.when(F.col("hot"), F.pmod(F.xxhash64("record"), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))

@@ -1,8 +1,8 @@
 """What changed between consecutive full snapshots.
 
-Only compact pairs (key, hash of the compared fields) are shuffled, into hash buckets of the key. Each
-bucket is sorted once in numpy and consecutive snapshots are compared by ``searchsorted``; full values
-are fetched afterwards for the differing keys alone.
+Only compact triples (place of the snapshot in the series, key, hash of the compared fields) are shuffled, into
+hash buckets of the key, repeated ones of a batch once. Each bucket is sorted once in numpy and consecutive
+snapshots are compared by ``searchsorted``; full values are fetched afterwards for the differing keys alone.
 """
 
 from __future__ import annotations
@@ -11,13 +11,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.schema import exact
-
-#: Rows a bucket should hold; 17 bytes a row, so a task keeps some tens of megabytes.
-BUCKET_ROWS = 1_000_000
+from quarry.session import durable
+
+#: Bytes of compact triples a bucket should hold, by the size Spark estimates from the files: a task keeps some tens of megabytes.
+BUCKET_BYTES = 32_000_000
+#: Spark gives frames that are no files a size beyond this.
+UNKNOWN_BYTES = 1 << 55
+#: A series of at most so many snapshots (counted before) is broadcast; a longer one is joined by shuffle.
+BROADCAST_SERIES = 100_000
 CHANGES = ("added", "removed", "changed")
 
 
@@ -45,13 +50,32 @@ def compare_sorted(before: tuple[np.ndarray, np.ndarray], after: tuple[np.ndarra
     return keys, codes
 
 
-def unique_sorted(keys: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted by key, one entry per key (the smallest hash where repeated rows disagree)."""
-    order = np.lexsort((hashes, keys))
-    keys, hashes = keys[order], hashes[order]
+def unique_sorted(snaps: np.ndarray, keys: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted by snapshot and key, one entry per key (the smallest hash where repeated rows disagree)."""
+    order = np.lexsort((hashes, keys, snaps))
+    snaps, keys, hashes = snaps[order], keys[order], hashes[order]
     first = np.ones(len(keys), bool)
-    first[1:] = keys[1:] != keys[:-1]
-    return keys[first], hashes[first]
+    first[1:] = (keys[1:] != keys[:-1]) | (snaps[1:] != snaps[:-1])
+    return snaps[first], keys[first], hashes[first]
+
+
+def bucket_changes(snaps: np.ndarray, keys: np.ndarray, hashes: np.ndarray, series: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """``(place, keys, codes)`` of the changes of one bucket, from one sort; snapshots without rows in it are empty."""
+    snaps, keys, hashes = unique_sorted(snaps, keys, hashes)
+    present, starts = np.unique(snaps, return_index=True)
+    part = {int(at): (keys[a:b], hashes[a:b]) for at, a, b in zip(present, starts, np.append(starts[1:], len(keys)), strict=True)}
+    none = keys[:0], hashes[:0]
+    for at in sorted(part.keys() | {at + 1 for at in part}):
+        if 0 < at < series:
+            found, codes = compare_sorted(part.get(at - 1, none), part.get(at, none))
+            if len(found):
+                yield at, found, codes
+
+
+def planned_bytes(df: DataFrame) -> int:
+    """The size of ``df`` as its plan states it for files; rows are counted only where it states none."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < UNKNOWN_BYTES else 24 * df.count()
 
 
 def diff_snapshots(snapshots: DataFrame, *, snapshot: str, key: str, compare: list[str], buckets: int | None = None) -> DataFrame:
@@ -63,44 +87,35 @@ def diff_snapshots(snapshots: DataFrame, *, snapshot: str, key: str, compare: li
     one with the smallest field hash stands for it. Rows with null key or snapshot belong to no snapshot
     and are left out. One snapshot or none gives no rows. Other columns are never read.
     """
-    compact = exact(snapshots, snapshot, key, *compare).select(F.col(snapshot).alias("snap"), F.col(key).cast("long").alias("key"), row_hash(*compare).alias("hash"))
-    compact = compact.where(F.col("snap").isNotNull() & F.col("key").isNotNull())
-    # As many rows as there are snapshots.
-    counts = compact.groupBy("snap").count().orderBy("snap").collect()
-    series = [row["snap"] for row in counts]
-    buckets = buckets or max(1, -(-sum(row["count"] for row in counts) // BUCKET_ROWS), int(snapshots.sparkSession.sparkContext.defaultParallelism))
-    number = F.lit(None).cast("int")
-    for at, value in enumerate(series):
-        number = F.when(F.col("snap") == F.lit(value), F.lit(at)).otherwise(number)
-    n_series = len(series)
+    rows = exact(snapshots, snapshot, key, *compare).where(F.col(f"`{snapshot}`").isNotNull() & F.col(f"`{key}`").isNotNull())
+    # One row per snapshot; the only pass besides the comparison reads this column alone.
+    names = rows.select(F.col(f"`{snapshot}`").alias("snap")).distinct()
+    series = durable(names.select("snap", (F.row_number().over(Window.orderBy("snap")) - 1).alias("at")))
+    n_series = series.count()
+    small = n_series <= BROADCAST_SERIES
+    compact = rows.select(F.col(f"`{snapshot}`").alias("snap"), F.col(f"`{key}`").cast("long").alias("key"), row_hash(*compare).alias("hash"))
+    compact = compact.join(F.broadcast(series) if small else series, "snap").select("at", "key", "hash")
+    buckets = buckets or max(int(snapshots.sparkSession.sparkContext.defaultParallelism), planned_bytes(rows) // BUCKET_BYTES)
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            triples = [np.asarray(batch.column(i)) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in unique_sorted(*triples)], ["at", "key", "hash"])
 
     def bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [[np.asarray(b.column(i)) for i in range(3)] for b in batches if b.num_rows]
         if not parts:
             return
-        snaps, keys, hashes = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        triples = [np.concatenate([p[i] for p in parts]) for i in range(3)]
         del parts
-        held = unique_sorted(keys[snaps == 0], hashes[snaps == 0])
-        for at in range(1, n_series):
-            later = unique_sorted(keys[snaps == at], hashes[snaps == at])
-            found, codes = compare_sorted(held, later)
-            held = later
-            if len(found):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(found), at, np.int32)), pa.array(found), pa.array(codes.astype(np.int32))], ["at", "key", "code"]
-                )
-
-    found = (
-        compact.select(number.alias("at"), "key", "hash")
-        .repartition(buckets, "key")
-        .mapInArrow(bucket, "at int, key long, code int")
-    )
-    kind = snapshots.schema[snapshot].dataType
-    name = F.lit(None).cast(kind)
-    for at, value in enumerate(series):
-        name = F.when(F.col("at") == at, F.lit(value).cast(kind)).otherwise(name)
+        for at, found, codes in bucket_changes(*triples, n_series):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), at, np.int32)), pa.array(found), pa.array(codes.astype(np.int32))], ["at", "key", "code"])
+
+    kind = "at int, key long"
+    found = compact.mapInArrow(once, f"{kind}, hash long").repartition(buckets, "key").mapInArrow(bucket, f"{kind}, code int")
+    named = found.join(F.broadcast(series) if small else series, "at")
     change = F.element_at(F.array(*[F.lit(c) for c in CHANGES]), F.col("code") + 1)
-    return found.select(name.alias(snapshot), F.col("key").alias(key), change.alias("change"))
+    return named.select(F.col("snap").alias(snapshot), F.col("key").alias(key), change.alias("change"))
 
 
 def with_values(changes: DataFrame, snapshots: DataFrame, *, snapshot: str, key: str, fields: list[str]) -> DataFrame:

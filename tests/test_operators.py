@@ -119,6 +119,29 @@ def test_snapshots(spark, rows):
     assert snapshots.diff_snapshots(df.limit(0), snapshot="snap", key="id", compare=["n"]).collect() == []
 
 
+def test_fifteen_hundred_snapshots(spark, monkeypatch):
+    random.seed(8)
+    held, data, want = {}, [], set()
+    for at in range(1500):
+        before = dict(held)
+        for _ in range(3):
+            key = random.randrange(12)
+            if random.random() < 0.3:
+                held.pop(key, None)
+            else:
+                held[key] = random.choice([None, 1, 2])
+        held[99] = 0
+        data += [(at, k, v, "x", 1) for k, v in held.items()] * (2 if at % 7 == 0 else 1)
+        if at:
+            want |= {(at, k, "added") for k in held.keys() - before.keys()} | {(at, k, "removed") for k in before.keys() - held.keys()}
+            want |= {(at, k, "changed") for k in held.keys() & before.keys() if held[k] != before[k]}
+    df = spark.createDataFrame(data, "snap int, id long, n long, hash string, at int")
+    for limit in (snapshots.BROADCAST_SERIES, 10):
+        monkeypatch.setattr(snapshots, "BROADCAST_SERIES", limit)
+        found = snapshots.diff_snapshots(df, snapshot="snap", key="id", compare=["n"])
+        assert {tuple(r) for r in found.collect()} == want
+
+
 def test_snapshot_missing_from_a_bucket(spark, rows):
     df = spark.createDataFrame([("a", i, 1) for i in range(50)] + [("c", i, 1) for i in range(50)] + [("b", 7, 1)], "s string, k long, v int")
     found = rows(snapshots.diff_snapshots(df, snapshot="s", key="k", compare=["v"], buckets=5))
