@@ -12,7 +12,7 @@ from quarry.errors import PlanError
 from quarry.plans.model import STATISTICS, AggregateSpec, QueryPlan, validate
 from quarry.plans.predicates import where
 from quarry.schema import is_floating, is_numeric, quoted, resolve_column
-from quarry.sources.tables import ROW_ID, Table
+from quarry.sources.tables import ROW_ID, Table, first_files
 
 
 @dataclass(frozen=True)
@@ -105,11 +105,14 @@ def aggregate_frame(table: Table, plan: QueryPlan) -> DataFrame:
 def row_frame(table: Table, plan: QueryPlan) -> DataFrame:
     """Matching rows with their row id, in file order (or ``order_by``: nulls last, ties in file order).
 
-    Without a limit, or with 0, no rows come back.
+    Without a limit, or with 0, no rows come back. A page in file order reads the first files that fill it.
     """
-    df = filtered(table, plan, numbered=True)
     if not plan.limit:
-        return df.where(F.lit(False))
+        return filtered(table, plan, numbered=True).where(F.lit(False))
+    if not plan.order_by and ROW_ID not in table.df.columns:
+        predicate = where(table.df.schema, plan.filters, plan.combine)
+        table = Table(table.name, first_files(table.df, predicate, plan.limit + plan.offset))
+    df = filtered(table, plan, numbered=True)
     order = []
     for name, descending in plan.order_by:
         column = quoted(resolve_column(table.df.schema, name))

@@ -22,7 +22,7 @@ _COMPARE = {
 def leaf(schema: T.StructType, spec: FilterSpec, two_valued: bool = True) -> Column:
     """One filter. A null or NaN field matches no operator, not even ``!=``.
 
-    With ``two_valued`` the result is never null, so that NOT turns it around (a bare leaf stays pushable without).
+    With ``two_valued`` the result is never null, so that NOT turns it around (without, a leaf can reach the scan).
     """
     name = resolve_column(schema, spec.column)
     kind, column, op = schema[name].dataType, quoted(name), spec.operator
@@ -40,8 +40,9 @@ def leaf(schema: T.StructType, spec: FilterSpec, two_valued: bool = True) -> Col
             raise PlanError("a filter value may not be null")
         test = column.contains(str(spec.value))
         test = ~test if op == "not_like" else test
-    if is_floating(kind):
-        test = test & ~F.isnan(column)
+    if is_floating(kind) and op in ("neq", "gt", "gte"):
+        # NaN is above every number; said by a comparison, since that reaches the scan.
+        test = test & (column <= F.lit(float("inf")))
     return F.coalesce(test, F.lit(False)) if two_valued else test
 
 
@@ -68,10 +69,10 @@ def where(schema: T.StructType, filters: tuple[FilterSpec, ...], combine: tuple[
             raise PlanError("combine without filters")
         return None
     numbers = tokens(combine)
+    # AND and OR are true for the same rows in two-valued and in SQL's logic: only below NOT must a leaf not be null.
+    leaves = [leaf(schema, f, two_valued=NOT in numbers) for f in filters]
     if not numbers or all(n == AND for n in numbers):
-        # Plain conjuncts: nulls are dropped by WHERE itself and every leaf can reach the scan.
-        return reduce(and_, [leaf(schema, f, two_valued=False) for f in filters])
-    leaves = [leaf(schema, f) for f in filters]
+        return reduce(and_, leaves)
     if all(n == OR for n in numbers):
         return reduce(or_, leaves)
     stack: list[Column] = []

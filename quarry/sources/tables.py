@@ -5,10 +5,11 @@ from __future__ import annotations
 import posixpath
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ROW_ID = "__row_id"
+BROADCAST_FILES = 100_000
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -19,19 +20,41 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def with_row_ids(df: DataFrame, column: str = ROW_ID) -> DataFrame:
     """Add the 0-based position of every row in file order.
 
-    The reader numbers rows inside each file; files are put in name order by a prefix sum over one
-    small row per file, joined back by broadcast (as many rows as there are files).
+    The reader numbers rows inside each file; files are put in name order by a prefix sum over one small
+    row per file, whose row counts come from the footers (no column is read). They are joined back by
+    broadcast, or by shuffle if there are more than BROADCAST_FILES of them.
     """
     numbered = df.withColumn("__file", F.col("_metadata.file_path")).withColumn("__at", F.col("_metadata.row_index"))
-    if len(df.inputFiles()) <= 1:
+    files = len(df.inputFiles())
+    if files <= 1:
         return numbered.withColumn(column, F.col("__at")).drop("__file", "__at")
-    sizes = numbered.groupBy("__file").agg((F.max("__at") + 1).alias("__n"))
+    sizes = df.select(F.col("_metadata.file_path").alias("__file")).groupBy("__file").agg(F.count("*").alias("__n"))
     before = Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("__file", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    joined = numbered.join(F.broadcast(starts), "__file")
+    joined = numbered.join(F.broadcast(starts) if files <= BROADCAST_FILES else starts, "__file")
     return joined.withColumn(column, F.col("__start") + F.col("__at")).drop("__file", "__at", "__start")
 
 
+def first_files(df: DataFrame, predicate: Column | None, rows: int) -> DataFrame:
+    """``df`` over its first files in name order that hold ``rows`` matching rows, all of them if they hold fewer.
+
+    The number of files looked at is doubled until it suffices, so that a short page of a large table opens a
+    few of its files. Frames that are not a plain scan of several Parquet files come back as they are.
+    """
+    plan = df._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() != "LogicalRelation" or plan.relation().toString().lower() != "parquet":
+        return df
+    if plan.relation().partitionSchema().length() or len(files := sorted(df.inputFiles())) < 2:
+        return df
+    taken = 1
+    while taken < len(files):
+        part = df.sparkSession.read.schema(df.schema).parquet(*files[:taken])
+        if (part if predicate is None else part.where(predicate)).limit(rows).count() >= rows:
+            return part
+        taken *= 2
+    return df
+
+
 @dataclass(frozen=True)
 class Table:
     """One table: its rows without helper columns, and a variant that carries row ids."""

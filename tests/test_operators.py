@@ -153,7 +153,7 @@ def test_compare_sorted_random():
     for _ in range(50):
         a = {int(k): int(v) for k, v in zip(rng.integers(0, 40, 25), rng.integers(0, 3, 25), strict=True)}
         b = {int(k): int(v) for k, v in zip(rng.integers(0, 40, 25), rng.integers(0, 3, 25), strict=True)}
-        arrays = [snapshots.unique_sorted(np.array(list(d), np.int64), np.array(list(d.values()), np.int64)) for d in (a, b)]
+        arrays = [snapshots.unique_sorted(np.zeros(len(d), np.int32), np.array(list(d), np.int64), np.array(list(d.values()), np.int64))[1:] for d in (a, b)]
         keys, codes = snapshots.compare_sorted(*arrays)
         want = {k: "added" for k in b.keys() - a} | {k: "removed" for k in a.keys() - b} | {k: "changed" for k in a.keys() & b if a[k] != b[k]}
         assert {int(k): snapshots.CHANGES[c] for k, c in zip(keys, codes, strict=True)} == want

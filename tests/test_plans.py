@@ -172,3 +172,34 @@ def test_random_plans_against_duckdb(spark, tmp_path):
         want = sorted([tuple(signature(round(x, 4) if isinstance(x, float) else x) for x in r) for r in cursor.fetchall()], key=repr)
         got = sorted([tuple(signature(round(x, 4) if isinstance(x, float) else x) for x in r) for r in frame.select(*names).collect()], key=repr)
         assert got == want, plan
+
+
+def executed(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_or_and_nested_filters_reach_the_scan(spark, tmp_path):
+    path = str(tmp_path / "t.parquet")
+    spark.createDataFrame([(i, float(i), str(i % 3)) for i in range(50)], "i long, v double, k string").write.parquet(path)
+    t = Table("t", spark.read.parquet(path))
+    filters = [f("i", "<", 3), f("v", ">", 45.0), f("k", "!=", "1")]
+    for combine, pushed in [(("OR",), "Or(Or(LessThan(i,3),"), ((0, 1, "OR", 2, "AND"), "Or(LessThan(i,3),")]:
+        frame = main_frame(t, build_plan(filters=filters, combine=combine, aggregates=[{"column": "i"}]))
+        assert pushed in executed(frame).replace(" ", "")
+    assert main_frame(t, build_plan(filters=filters[:2], combine=("OR",), aggregates=[{"column": "i", "op": "count"}])).collect()[0][0] == 7
+
+
+def test_a_page_opens_the_first_files_only(spark, tmp_path):
+    path = str(tmp_path / "t.parquet")
+    for part in range(9):
+        spark.createDataFrame([(100 * part + i, i % 10) for i in range(100)], "i long, k int").coalesce(1).write.mode("append").parquet(path)
+    t = Table("t", spark.read.parquet(path))
+    order = {}
+    for r in t.df.selectExpr("i", "_metadata.file_path AS p").collect():
+        order.setdefault(r.p, []).append(r.i)
+    rows_in_order = [i for p in sorted(order) for i in sorted(order[p])]
+    for spec, start, step, count, opened in [({"limit": 20}, 0, 1, 20, 1), ({"limit": 20, "offset": 150}, 150, 1, 20, 2), ({"limit": 25, "filters": [f("k", "=", 0)]}, 0, 10, 25, 4), ({"limit": 5000}, 0, 1, 900, 9)]:
+        frame = execute(t, build_plan(select=["i"], **spec)).projection
+        assert [r.i for r in frame.collect()] == rows_in_order[start : start + step * count : step]
+        assert len(frame.inputFiles()) == opened
+    assert [r[0] for r in execute(t, build_plan(limit=3, offset=299)).rows.collect()] == [299, 300, 301]

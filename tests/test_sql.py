@@ -59,6 +59,26 @@ def test_any_table_name_and_row_ids(hits):
     from quarry.plans.sql import run_sql
 
     assert hits.sql("SELECT COUNT(*) FROM anything").collect()[0][0] == 400
+    assert [r[0] for r in run_sql(Table("hits", hits.df.withColumn("__row_id", hits.df.WatchID)), "SELECT __row_id FROM h WHERE CounterID = 3 LIMIT 2", row_ids=True).collect()] == [3, 7]
+
+
+@pytest.mark.parametrize(
+    ("text", "answer"),
+    [
+        ("SELECT COUNT(*) FROM hits WHERE SearchPhrase = 'from hits'", 0),
+        ("SELECT COUNT(*) FROM hits WHERE SearchPhrase <> 'FROM hits AS x' AND URL <> 'x from  hits'", 300),
+        ("SELECT COUNT(*), 'a from hits' AS b FROM hits", 400),
+        ("SELECT COUNT(*) FROM hits AS h WHERE h.CounterID = 1", 100),
+        ("SELECT COUNT(*) FROM hits h WHERE h.CounterID = 1", 100),
+        ("SELECT COUNT(hits.CounterID) FROM hits WHERE hits.CounterID = 1", 100),
+        ("SELECT COUNT(*) FROM hits WHERE UserID IN (SELECT UserID FROM hits WHERE CounterID = 1 AND WatchID < 2)", 133),
+        ("SELECT COUNT(*) FROM hits WHERE extract(minute FROM toDateTime(EventTime)) >= 0", 400),
+    ],
+)
+def test_table_names_in_odd_places(spark, hits, text, answer):
+    before = len(spark.catalog.listTables())
+    assert hits.sql(text).collect()[0][0] == answer
+    assert len(spark.catalog.listTables()) == before
 
 
 @pytest.mark.parametrize("text", ["SELECT a FROM t", "SELECT COUNT(*), SUM(a + 1) FROM t WHERE a = 1 AND b LIKE '%x%' GROUP BY c ORDER BY c LIMIT 3", "SELECT * FROM t WHERE a IN (1, -2) OFFSET 2 LIMIT 1;", "SELECT 1"])
