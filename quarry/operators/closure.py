@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.session import durable
+from quarry.session import durable, written
 
 
 def reachable(edges: DataFrame, starts: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -15,7 +15,7 @@ def reachable(edges: DataFrame, starts: DataFrame, max_depth: int | None = None)
     levels are checkpointed in the shared folder. Null nodes are left out; an empty start gives no rows.
     """
     known = level = durable(starts.select("node", F.lit(0).alias("depth")).where(F.col("node").isNotNull()).distinct())
-    edges = edges.select("source", "target").where("source IS NOT NULL AND target IS NOT NULL").distinct()
+    edges = written(edges.select("source", "target").where("source IS NOT NULL AND target IS NOT NULL").distinct(), "edges")
     depth = 0
     while (max_depth is None or depth < max_depth) and not level.isEmpty():
         depth += 1

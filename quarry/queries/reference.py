@@ -10,9 +10,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.catalog import catalog
+from quarry.catalog import questions
 from quarry.explore import drafts, summary
 from quarry.functions import sketch, sums
+from quarry.operators import relations
+from quarry.operators.closure import reachable
 from quarry.plans.compiler import execute, main_frame
 from quarry.plans.model import QueryPlan, build_plan
 from quarry.plans.render import to_sql
@@ -150,27 +152,70 @@ _sql("group_case", "orders", "SELECT CASE WHEN o_orderstatus = 'F' THEN o_orderp
 _sql("like_documents", "documents", "SELECT lang, MIN(page_title) AS low, COUNT(*) AS n FROM documents WHERE text LIKE '%lighthouse%' AND page_title NOT LIKE '%bridge%' GROUP BY lang")
 _sql("length_by_lang", "documents", "SELECT lang, ROUND(AVG(STRLEN(text)), 4) AS l, COUNT(*) AS n FROM documents WHERE text <> '' GROUP BY lang", "SELECT lang, round(avg(length(text)), 4) AS l, count(*) AS n FROM documents WHERE text <> '' GROUP BY lang")
 
-# The catalog on the crate tables, with names and days that occur in them.
-NAMES = {"crate": "foheteti_io", "other": "vavitezu", "third": "lisutece-rs", "fourth": "buretefo-util", "fifth": "reniteka", "like": "fohe", "owner": "a", "owner_like": "o"}
-DAYS = {"month": "2026-03-01", "half": "2026-03-15", "recent": "2026-03-20", "week": "2026-03-24"}
-for _name, (_source, _entry) in catalog(NAMES, DAYS).items():
-    if _source in ("crates_versions", "crates_dependencies", "crates_categories", "crate_maintainers", "version_downloads_daily"):
-        _plan(f"catalog_{_name}", _source, _entry)
+# The catalog, with names and days that occur in the tables.
+CATALOG = questions(crate="lisutece-rs", rival="reniteka", wanted="foheteti_io", owner="zimigufu0", piece="fohe", since="2026-02-20", until="2026-03-21")
+for _name, _question in CATALOG.items():
+    _plan(f"catalog_{_name}", _question.table, _question.plan)
+
+
+# Denormalising joins and rollups, on the registry's normal form as far as the tables give it.
+def _registry(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """Crates, versions, dependencies and link tables with the columns of a registry dump."""
+    versions, edges = read_table(spark, folder, "crates_versions"), read_table(spark, folder, "crates_dependencies")
+    once = versions.groupBy("version_id").agg(*[F.max(c).alias(c) for c in ("crate_id", "crate_name", "version", "downloads", "crate_size", "published_date", "yanked", "edition", "license", "has_lib", "rust_version", "dep_count")])
+    crates = versions.groupBy(F.col("crate_id").alias("id")).agg(F.max("crate_name").alias("name"), F.max("crate_total_downloads").alias("downloads"))
+    dumped = once.select(F.col("version_id").alias("id"), "crate_id", F.concat(F.lit(" "), "version", F.lit("\t")).alias("num"), "downloads", "crate_size", F.col("published_date").alias("created_at"), "yanked", "edition", "license", "has_lib", "rust_version", F.col("dep_count").alias("num_no_build"))
+    wanted = edges.groupBy(F.col("dependency_id").alias("id")).agg(F.max("version_id").alias("version_id"), F.max("dep_crate_name").alias("name"), F.max("kind").alias("kind"), F.max("optional").alias("optional"))
+    # Every third edge names what it needs in its own column, the others in front of the version they need.
+    own = F.when(F.col("id") % 3 == 0, F.col("name")).otherwise(F.lit(""))
+    wanted = wanted.select("id", "version_id", own.alias("explicit_name"), F.concat("name", F.lit(" ^1.0")).alias("req"), "kind", "optional")
+    maintainers, categories = read_table(spark, folder, "crate_maintainers"), read_table(spark, folder, "crates_categories")
+    users = maintainers.where("owner_login IS NOT NULL").groupBy(F.col("owner_login").alias("gh_login")).agg(F.max("owner_name").alias("name"))
+    owners = maintainers.where("owner_login IS NOT NULL").select("crate_id", F.col("owner_login").alias("owner_id"), "owner_kind").distinct()
+    slugs = categories.groupBy(F.col("category_slug").alias("slug")).agg(F.max("category_name").alias("category"))
+    return {
+        "crates": crates, "versions": dumped, "dependencies": wanted, "users": users.withColumn("id", F.col("gh_login")), "crate_owners": owners,
+        "categories": slugs.withColumn("id", F.col("slug")), "crates_categories": categories.select("crate_id", F.col("category_slug").alias("category_id")).distinct(),
+        "crate_downloads": crates.where("downloads > 1000").select(F.col("id").alias("crate_id"), "downloads"),
+    }
+
+
+_DUMP = """WITH v AS (SELECT version_id AS id, max(crate_id) AS crate_id, max(version) AS num, max(downloads) AS downloads, max(crate_size) AS crate_size, max(published_date) AS created_at, max(yanked) AS yanked,
+    max(edition) AS edition, max(license) AS license, max(has_lib) AS has_lib, max(rust_version) AS rust_version, max(dep_count) AS dep_count FROM crates_versions GROUP BY 1),
+  c AS (SELECT crate_id AS id, max(crate_name) AS name, max(crate_total_downloads) AS downloads FROM crates_versions GROUP BY 1),
+  t AS (SELECT id AS crate_id, downloads FROM c WHERE downloads > 1000),
+  d AS (SELECT dependency_id AS id, max(version_id) AS version_id, max(dep_crate_name) AS name, max(kind) AS kind, max(optional) AS optional FROM crates_dependencies GROUP BY 1)
+"""
+
+
+@query(_DUMP + """SELECT v.id AS version_id, v.crate_id, c.name AS crate_name, regexp_replace(num, '^\\s+|\\s+$', '', 'g') AS version, v.downloads, crate_size, created_at AS published_date, yanked, edition, license, has_lib, rust_version,
+    c.downloads AS crate_total_downloads, dep_count FROM v JOIN c ON c.id = v.crate_id""")
+def etl_version_table(spark: SparkSession, folder: str) -> DataFrame:
+    dump = _registry(spark, folder)
+    return etl.version_table(dump["versions"], dump["crates"])
+
+
+@query(_DUMP + """, e AS (SELECT d.*, CASE WHEN id % 3 = 0 THEN nullif(name, '') END AS own, name || ' ^1.0' AS req FROM d)
+    SELECT e.id AS dependency_id, e.version_id, v.crate_id AS parent_crate_id, p.name AS parent_crate_name, n.id AS dep_crate_id, coalesce(own, req) AS dep_crate_name, kind, optional
+    FROM e JOIN v ON v.id = e.version_id JOIN c p ON p.id = v.crate_id LEFT JOIN c n ON n.name = coalesce(own, split_part(req, ' ', 1))""")
+def etl_dependency_table(spark: SparkSession, folder: str) -> DataFrame:
+    dump = _registry(spark, folder)
+    return etl.dependency_table(dump["dependencies"], dump["versions"], dump["crates"])
 
 
-# Denormalising joins and rollups.
-@query("SELECT l_orderkey, l_linenumber, o_custkey, o_orderdate, l_quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F'")
-def etl_version_dim(spark: SparkSession, folder: str) -> DataFrame:
-    lines, orders = read_table(spark, folder, "lineitem"), read_table(spark, folder, "orders")
-    return lines.join(orders.where("o_orderstatus = 'F'"), F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "o_custkey", "o_orderdate", "l_quantity")
+@query(_DUMP + """SELECT c.id AS crate_id, c.name AS crate_name, category_slug, category_name, coalesce(t.downloads, 0) AS crate_downloads FROM (SELECT DISTINCT crate_id, category_slug FROM crates_categories) k
+    JOIN c ON c.id = k.crate_id JOIN (SELECT category_slug, max(category_name) AS category_name FROM crates_categories GROUP BY 1) USING (category_slug) LEFT JOIN t ON t.crate_id = c.id""")
+def etl_category_table(spark: SparkSession, folder: str) -> DataFrame:
+    dump = _registry(spark, folder)
+    return etl.category_table(dump["crates"], dump["crates_categories"], dump["categories"], dump["crate_downloads"])
 
 
-@query("""SELECT o_orderkey, c_name, coalesce(nullif(n_name, ''), split_part(c_name, '#', 1)) AS place FROM orders
-    JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON n_nationkey = c_nationkey AND n_regionkey = 1""")
-def etl_edges(spark: SparkSession, folder: str) -> DataFrame:
-    orders, customers, nations = (read_table(spark, folder, t) for t in ("orders", "customer", "nation"))
-    rows = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).join(nations.where("n_regionkey = 1"), F.col("n_nationkey") == F.col("c_nationkey"), "left")
-    return rows.select("o_orderkey", "c_name", F.coalesce(F.nullif("n_name", F.lit("")), F.split_part("c_name", F.lit("#"), F.lit(1))).alias("place"))
+@query(_DUMP + """SELECT c.id AS crate_id, c.name AS crate_name, owner_login, u.owner_name, owner_kind, coalesce(t.downloads, 0) AS crate_downloads
+    FROM (SELECT DISTINCT crate_id, owner_login, owner_kind FROM crate_maintainers WHERE owner_login IS NOT NULL) k
+    JOIN c ON c.id = k.crate_id JOIN (SELECT owner_login, max(owner_name) AS owner_name FROM crate_maintainers GROUP BY 1) u USING (owner_login) LEFT JOIN t ON t.crate_id = c.id""")
+def etl_maintainer_table(spark: SparkSession, folder: str) -> DataFrame:
+    dump = _registry(spark, folder)
+    return etl.maintainer_table(dump["crates"], dump["crate_owners"], dump["users"], dump["crate_downloads"])
 
 
 @query("""SELECT n_nationkey AS crate_id, n_name AS crate_name, r_name AS region, coalesce(t.total, 0) AS crate_downloads FROM nation
@@ -206,47 +251,42 @@ def rollup_single_entity(spark: SparkSession, folder: str) -> DataFrame:
     LEFT JOIN (SELECT crate_id, sum(downloads) AS total FROM (SELECT version_id, max(crate_id) AS crate_id, max(downloads) AS downloads FROM crates_versions GROUP BY 1) GROUP BY 1) USING (crate_id)
     GROUP BY 1""")
 def join_portfolio(spark: SparkSession, folder: str) -> DataFrame:
-    owners = read_table(spark, folder, "crate_maintainers").select("owner_login", "crate_id").distinct()
-    versions = read_table(spark, folder, "crates_versions").groupBy("version_id").agg(F.max("crate_id").alias("crate_id"), F.max("downloads").alias("downloads"))
-    totals = versions.groupBy("crate_id").agg(F.sum("downloads").alias("total"))
-    return owners.join(totals, "crate_id", "left").groupBy("owner_login").agg(F.count("*").alias("crates"), F.coalesce(F.sum("total"), F.lit(0)).alias("downloads"))
+    return relations.portfolios(read_table(spark, folder, "crate_maintainers"), read_table(spark, folder, "crates_versions"))
 
 
 @query("""SELECT category_slug, sum(CASE WHEN date >= DATE '2026-03-01' THEN downloads END)::BIGINT AS late, sum(CASE WHEN date < DATE '2026-01-01' THEN downloads END)::BIGINT AS early
     FROM version_downloads_daily JOIN (SELECT DISTINCT crate_id, category_slug FROM crates_categories) USING (crate_id) GROUP BY 1""")
 def join_category_growth(spark: SparkSession, folder: str) -> DataFrame:
-    # Summed per crate before the join, so that a crate with a third of all rows joins as one.
-    daily = read_table(spark, folder, "version_downloads_daily").groupBy("crate_id").agg(
-        F.sum(F.when(F.col("date") >= "2026-03-01", F.col("downloads"))).alias("late"), F.sum(F.when(F.col("date") < "2026-01-01", F.col("downloads"))).alias("early")
-    )
-    slugs = read_table(spark, folder, "crates_categories").select("crate_id", "category_slug").distinct()
-    return slugs.join(daily, "crate_id").groupBy("category_slug").agg(F.sum("late").alias("late"), F.sum("early").alias("early"))
+    daily, categories = read_table(spark, folder, "version_downloads_daily"), read_table(spark, folder, "crates_categories")
+    return relations.category_sums(daily, categories, late=F.col("date") >= "2026-03-01", early=F.col("date") < "2026-01-01")
 
 
 @query("""WITH lic AS (SELECT version_id, min(license) AS license FROM crates_versions GROUP BY 1)
     SELECT v.license, count(DISTINCT e.parent_crate_id) AS crates FROM crates_dependencies e JOIN lic v ON v.version_id = e.version_id
     WHERE e.dep_crate_id IN (SELECT crate_id FROM crates_versions WHERE license LIKE 'GPL%') GROUP BY 1""")
 def join_semi_audit(spark: SparkSession, folder: str) -> DataFrame:
-    edges, versions = read_table(spark, folder, "crates_dependencies"), read_table(spark, folder, "crates_versions")
-    copyleft = versions.where(F.col("license").startswith("GPL")).select(F.col("crate_id").alias("dep_crate_id")).distinct()
-    licenses = versions.groupBy("version_id").agg(F.min("license").alias("license"))
-    needed = edges.join(copyleft, "dep_crate_id", "left_semi").select("version_id", "parent_crate_id").distinct()
-    return needed.join(licenses, "version_id").groupBy("license").agg(F.count_distinct("parent_crate_id").alias("crates"))
+    return relations.users_of_license(read_table(spark, folder, "crates_dependencies"), read_table(spark, folder, "crates_versions"), F.col("license").startswith("GPL"))
 
 
 @query("""SELECT crate_id, wanted, downloads::BIGINT AS downloads FROM (SELECT dep_crate_id AS crate_id, count(*) AS wanted FROM crates_dependencies WHERE dep_crate_id IS NOT NULL GROUP BY 1)
-    JOIN (SELECT crate_id, sum(downloads) AS downloads FROM version_downloads_daily GROUP BY 1) USING (crate_id) ORDER BY wanted DESC, crate_id LIMIT 100""")
+    JOIN (SELECT crate_id, sum(downloads) AS downloads FROM version_downloads_daily GROUP BY 1) USING (crate_id)""")
 def join_popularity_vs_volume(spark: SparkSession, folder: str) -> DataFrame:
-    wanted = read_table(spark, folder, "crates_dependencies").where("dep_crate_id IS NOT NULL").groupBy(F.col("dep_crate_id").alias("crate_id")).agg(F.count("*").alias("wanted"))
-    volume = read_table(spark, folder, "version_downloads_daily").groupBy("crate_id").agg(F.sum("downloads").alias("downloads"))
-    return wanted.join(volume, "crate_id").orderBy(F.desc("wanted"), "crate_id").limit(100)
+    return relations.wanted_and_downloaded(read_table(spark, folder, "crates_dependencies"), read_table(spark, folder, "version_downloads_daily"))
+
+
+@query("""WITH RECURSIVE edges AS (SELECT DISTINCT parent_crate_id AS source, dep_crate_id AS target FROM crates_dependencies WHERE parent_crate_id IS NOT NULL AND dep_crate_id IS NOT NULL),
+    found(node, depth) AS (SELECT DISTINCT crate_id, 0 FROM crates_categories WHERE category_slug = 'clock-sync' AND crate_id IS NOT NULL
+      UNION SELECT target, depth + 1 FROM edges JOIN found ON source = node WHERE depth < 5)
+    SELECT node, min(depth) AS depth FROM found GROUP BY 1""")
+def closure_dependencies(spark: SparkSession, folder: str) -> DataFrame:
+    edges = read_table(spark, folder, "crates_dependencies").select(F.col("parent_crate_id").alias("source"), F.col("dep_crate_id").alias("target"))
+    starts = read_table(spark, folder, "crates_categories").where(F.col("category_slug") == "clock-sync").select(F.col("crate_id").alias("node"))
+    return reachable(edges, starts, 5)
 
 
 @query("""WITH RECURSIVE place(kind, id, name, depth) AS (SELECT 'region', r_regionkey, r_name, 0 FROM region WHERE r_name IN ('ASIA', 'EUROPE')
     UNION ALL SELECT 'nation', n_nationkey, n_name, depth + 1 FROM nation JOIN place ON kind = 'region' AND n_regionkey = id) SELECT kind, id, name, depth FROM place""")
 def recursive_closure(spark: SparkSession, folder: str) -> DataFrame:
-    from quarry.operators.closure import reachable
-
     regions, nations = read_table(spark, folder, "region"), read_table(spark, folder, "nation")
     edges = nations.select(F.concat(F.lit("r"), "n_regionkey").alias("source"), F.concat(F.lit("n"), "n_nationkey").alias("target"))
     starts = regions.where(F.col("r_name").isin("ASIA", "EUROPE")).select(F.concat(F.lit("r"), "r_regionkey").alias("node"))
@@ -257,7 +297,12 @@ def recursive_closure(spark: SparkSession, folder: str) -> DataFrame:
 
 
 # Explorer.
-_plan("preset_topk", "crates_versions", catalog(NAMES, DAYS)["top_crates_by_downloads"][1])
+DRAFT_TABLES = {"crates": "crates_versions", "dependencies": "crates_dependencies", "categories": "crates_categories", "maintainers": "crate_maintainers", "trends": "version_downloads_daily"}
+for _kind in drafts.KINDS:
+    if _kind in DRAFT_TABLES:
+        _plan(f"draft_default_{_kind}", DRAFT_TABLES[_kind], drafts.build_query_plan(drafts.default_draft(_kind)))
+for _name in ("license_shares", "category_sizes", "rivals"):
+    _plan(f"draft_of_{_name}", CATALOG[_name].table, drafts.build_query_plan(drafts.draft_of(CATALOG[_name].plan)))
 _plan("draft_search", "crates_versions", drafts.build_query_plan(drafts.QueryDraft("search", "fohe", "crate_name", (drafts.FilterDraft("downloads", ">", "100"),))))
 _plan("draft_aggregate", "crates_versions", drafts.build_query_plan(drafts.QueryDraft("aggregate", filters=(drafts.FilterDraft("edition", "in", "2018, 2021"),), group_keys=("license",), agg_column="downloads")))
 _plan("draft_table", "crates_dependencies", drafts.build_query_plan(drafts.QueryDraft("table", filters=(drafts.FilterDraft("kind", "between", "1,2"),), select_columns=("parent_crate_name", "dep_crate_name"))))

@@ -10,6 +10,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarry.errors import PlanError
+
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -37,11 +39,14 @@ def build_session(app: str = "quarry", master: str | None = None, **conf: str) -
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests, one machine) a temporary folder takes its place.
+    Only where the setting is absent and all executors are in this process (tests, one machine) a temporary
+    folder takes its place; on a cluster its absence is an error, since its machines share no such folder.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise PlanError("spark.checkpoint.dir must name a folder that all executors share")
     held = getattr(shared_dir, "_own", None)
     if held is None:
         own = tempfile.mkdtemp(prefix="quarry-")
@@ -79,16 +84,18 @@ def durable(df: DataFrame) -> DataFrame:
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(shared_dir(spark))
+        _delete_on_exit(spark, context._jsc.sc().getCheckpointDir().get())
     return df.checkpoint(eager=True)
 
 
 def written(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and return a scan of it (column pruning and pushdown apply).
 
-    The files stay until ``drop_written``, since the returned frame is lazy.
+    The files stay until ``drop_written``, since the returned frame is lazy, or else until the driver ends.
     """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    _delete_on_exit(spark, path)
     df.write.parquet(path)
     _WRITTEN.append(path)
     return spark.read.parquet(path)
@@ -97,6 +104,11 @@ def written(df: DataFrame, label: str = "stage") -> DataFrame:
 _WRITTEN: list[str] = []
 
 
+def _delete_on_exit(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+
+
 def drop_written(spark: SparkSession) -> int:
     """Delete the intermediate tables written so far, once the results made from them are stored; how many there were."""
     hadoop = spark.sparkContext._jsc.hadoopConfiguration()

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry import PlanError, build_plan, execute
-from quarry.catalog import PRESETS, catalog
+from quarry.plans.compiler import main_frame
+from quarry.catalog import Question, over_budget, presets
 from quarry.explore import drafts, summary
 from quarry.functions import sketch, sums
 from quarry.schema import as_epoch_day, coerce, epoch_day, exact
@@ -139,8 +140,25 @@ def test_kinds_and_defaults():
     assert drafts.detect_kind(["crate_name", "license", "downloads"]) == "crates"
     assert drafts.detect_kind(["date", "version_id", "downloads"]) == "trends"
     assert drafts.detect_kind(["CounterID"]) == "hits" and drafts.detect_kind(["zzz"]) == "crates"
-    plans = catalog()
-    assert len(plans) == 57 and all(entry in plans for _, entry in PRESETS.values())
+
+
+def test_catalog_presets_and_budgets(spark):
+    import time
+
+    from quarry.queries.reference import CATALOG
+
+    chosen = presets(CATALOG)
+    assert set(chosen) == set(drafts.KINDS) and [len(chosen[k]) for k in ("crates", "dependencies", "categories", "maintainers", "trends", "hits")] == [7, 5, 3, 3, 5, 3]
+    took = {}
+    for name, question in CATALOG.items():
+        assert question.asks.endswith("?") and question.seconds > 0
+        table = open_table(spark, f"/root/testdata/sf0.01/{question.table}.parquet")
+        began = time.perf_counter()
+        rows = main_frame(table, question.plan).count()
+        took[name] = (time.perf_counter() - began, rows)
+    assert over_budget(CATALOG, took) == {}
+    bad = {"x": Question("events", "?", build_plan(limit=1), 1, 5)}
+    assert over_budget(bad, {"x": (2.0, 9)}) and over_budget(bad, {"x": (0.5, 4)}) and not over_budget(bad, {"x": (0.5, 5)})
 
 
 def test_summaries(spark):
