@@ -5,12 +5,12 @@ import os
 import pytest
 
 from quarry.parity import compare, duck
-from quarry.queries import data, reference
+from quarry.queries import data, reference, visits
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
-QUERIES = reference.QUERIES | data.QUERIES
-ORACLES = reference.ORACLES | data.ORACLES
+QUERIES = reference.QUERIES | visits.QUERIES | data.QUERIES
+ORACLES = reference.ORACLES | visits.ORACLES | data.ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -49,6 +49,12 @@ def test_partition_count_changes_nothing(spark, con, name, partitions):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def test_visits_take_every_published_shape(spark):
+    assert len(visits.STATEMENTS) == 43
+    empty = [name for name, run in visits.QUERIES.items() if run(spark, "/root/testdata/sf0.01").isEmpty()]
+    assert empty == []
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
