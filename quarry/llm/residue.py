@@ -74,18 +74,18 @@ def extract(df: DataFrame, key: str, text: str) -> DataFrame:
                     if found is None:
                         found = []
                         passages = rules.block_passages(block)
-                        units = []
-                        frames = []
-                        for passage in passages:
-                            folded = rules.fold(passage)
-                            kind = rules.trusted(passage, folded)
-                            units.append((folded, kind, SHOWS if rules.explains(passage) else OPEN))
-                            for part in rules.parts(passage):
-                                if frame := rules.frame(part):
-                                    frames.append((frame, None, SUSPECT if not kind and rules.suspected(part) else FILLED))
-                        kinds = [kind for _, kind, _ in units]
+                        folded = rules.fold_all(passages)
+                        kinds = rules.trusted_all(passages, folded)
+                        shown = [rules.explains(p) for p in passages]
+                        units = [(f, k, SHOWS if s else OPEN) for f, k, s in zip(folded, kinds, shown, strict=True)]
+                        parts = [(part, kind) for p, kind in zip(passages, kinds, strict=True) for part in rules.parts(p)]
+                        texts = rules.frames([p for p, _ in parts])
+                        frames = [
+                            (text, None, SUSPECT if not kind and rules.suspected(part) else FILLED)
+                            for (part, kind), text in zip(parts, texts, strict=True) if rules.telling(text)
+                        ]
                         kind = rules.block_kind(passages, kinds)
-                        if (kind or not any([kind or shown for _, kind, shown in units])) and (text := rules.masked(passages)):
+                        if (kind or not any(kinds) and not any(shown)) and (text := rules.masked(texts)):
                             units.append((text, kind, OPEN))
                         for folded, kind, role in units + frames:
                             if not folded and not kind:

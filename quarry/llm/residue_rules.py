@@ -161,27 +161,20 @@ _KINDS = [(kind, re.compile("|".join(f"(?:{c})" for c in cores))) for kind, core
 _CORE_WORDS = re.findall(r"(?<![\\a-z'])([a-z][a-z']+)(\\w)?", " ".join(c for cores in CORES.values() for c in cores).replace(r"\b", " "))
 _VOCABULARY = frozenset(w for words in VOCABULARY.values() for w in words.split()) | {w for w, more in _CORE_WORDS if not more}
 _STEMS = tuple(w for w, more in _CORE_WORDS if more and len(w) > 3)
-#: Words of which any core or log line holds one (prefixes), for speed.
-_HINT = re.compile(
-    r"script|\bjs\b|exist|cookie|skripte|browser|not\b|n't\b|no longer|unavail|access|acces|denied|permission|moved|expire|ended|\bout\b|log in|sign in|wrong|error|technical|"
-    r"maintenance|back|try|load|refresh|wait|fail|closed|refus|reset|lost|abort|interrupt|received|nicht|verweigert|berechtigung|abgelaufen|fehl|wartung|"
-    r"introuvable|avez|temps|indisponible|reessayez|no se|denegado|tiene|respond|disponible|caducado|intentelo|to be|follow|soon|here|construction|written|added|"
-    r"completed|tbd|tba|tbc|todo|to do|fixme|text|conten|section|detail|descri|summary|paragra|sentence|information|introduc|overview|lead|heading|title|line|copy|caption|item|entry|"
-    r"inhalt|abschnitt|absatz|beschreibung|artikel|satz|zeile|demnachst|bald|article|partie|phrase|ligne|resum|redige|ecrit|bientot|seccion|articulo|apartado|frase|linea|proximamente|escrito|redactado|"
-    r"bla|warning|notice|fatal|exception|traceback|gateway|forbidden|many requests|connect|unsupported|outdated|http|\b[45]\d\d\b"
-)
-_TAG = re.compile(r"</?(?:" + "|".join(t for t in TAGS if t not in ("NOSCRIPT", "ERROR")) + r")\b[^<>]*>", re.I)
+#: First words of log and status lines, and pieces of which other lines of that kind hold one.
+_LOG_STARTS = frozenset("php fatal parse syntax uncaught runtime warning notice unhandled traceback exception http error errors fehler erreur could".split())
+_LOG_PIECES = ("on line ", "refused", "<noscript", "<error", "error\":", "errors\":")
+_NOTE_STARTS = frozenset("todo to fixme tbd".split())
+_TAG = re.compile(r"</?(?:" + "|".join(t for t in TAGS if t not in ("NOSCRIPT", "ERROR")) + r")\b[^<>\n]*>", re.I)
 _QUOTED = re.compile(r"''[^'\n]+''(?!')|“[^”]*”|„[^“”]*[“”]|«[^»]*»|\"[^\"]*\"|‘[^’]*’")
 _NAMED = re.compile(r"“[^”]{1,60}”|\"[^\"]{1,60}\"|«[^»]{1,60}»")
 _LEET = str.maketrans("013457", "oieast")
 _LEET_HINT = re.compile(r"[A-Za-z][0-9]|[0-9][A-Za-z]")
 _HEX = re.compile(r"[0-9a-fA-F]{6,}")
-_LEET_WORD = re.compile(r"\b[0-9]*[A-Za-z]+[A-Za-z0-9]*\b")
-#: Words with a capital inside a passage, and numbers.
-_NAME = re.compile(r"(?<=\S )[A-ZÀ-ÖØ-Þ][\w'’-]*(?: [A-ZÀ-ÖØ-Þ][\w'’-]*)*|(?<!\w)\d+(?:[.,:/–-]\d+)*(?!\w)")
-#: The same in a frame, where link marks are gone and a bold start is the subject's name.
+_LEET_WORD = re.compile(r"\b(?:[A-Za-z]+[0-9]|[0-9]+[A-Za-z])[A-Za-z0-9]*\b")
+#: Words with a capital inside a passage, and numbers; link marks are gone, and a bold start is the subject's name.
 _FRAMED = re.compile(r"(?:(?<=\S )|(?<=:))[A-ZÀ-ÖØ-Þ][\w'’-]*(?: \(?[A-ZÀ-ÖØ-Þ][\w'’)-]*)*|(?<!\w)\d+(?:[.,:/–-]\d+)*(?!\w)")
-_SUBJECT = re.compile(r"^\W*'''[^'\n]+'''")
+_SUBJECT = re.compile(r"^[^\w\n]*'''[^'\n]+'''", re.M)
 _NOTE_TAG = re.compile(r"</?ref\b[^<>]*>", re.I)
 _MASKS = re.compile(r"¤(?:[ ,]*¤)+")
 _MASK = "¤"
@@ -189,10 +182,13 @@ _MASK = "¤"
 OWN_WORDS = 5
 _EDGES = " '\"*.-–—:;([|!#=>_~"
 _WORD = re.compile(r"(?<!\w)[a-z][a-z'-]*(?!\w)")
-#: Literals of which every placeholder and value holds one.
-_LITERALS = ("{", "<%", "@@", "%", " TB", "[", "#")
+#: Literals of which every placeholder in other than square brackets holds one.
+_LITERALS = ("{", "<%", "@@", "%", "#REF", "#VAL", "#DIV", "#NAM")
 #: The same for ambiguous marks and words.
-_MARKS = re.compile(r"undefined|NaN|None|null|NULL|nil|XXX|#[A-Z]|__[A-Z]|<[A-Z]|\{\d")
+_MARKS = ("undefined", "NaN", "None", "null", "NULL", "nil", "XXX", "#", "__", "<", "{")
+_QUOTES = ("\"", "“", "„", "«", "‘")
+_COMBINING = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]+")
+_PUNCTUATION = str.maketrans({c: " " for c in ".,;:!?()[]{}<>\"“”„«»‘’/|–—…=*#"})
 
 
 def clean(text: str) -> str:
@@ -235,26 +231,39 @@ def passages(text: str) -> list[str]:
 
 def fold(passage: str) -> str:
     """Lower case without accents, tags, markup at the edges, or digits that stand for letters."""
-    text = _TAG.sub(" ", passage) if "<" in passage else passage
+    return fold_all([passage])[0]
+
+
+def fold_all(passages: list[str]) -> list[str]:
+    """The passages of a block, folded together."""
+    if not passages:
+        return []
+    text = "\n".join(passages)
+    if "<" in text:
+        text = _TAG.sub(" ", text)
     if "''" in text:
         text = text.replace("'''", "").replace("''", "")
     if _LEET_HINT.search(text):
         text = _LEET_WORD.sub(lambda m: m[0] if _HEX.fullmatch(m[0]) else m[0].translate(_LEET), text)
     if not text.isascii():
-        text = unicodedata.normalize("NFKD", text.replace("’", "'"))
-        text = "".join([c for c in text if not unicodedata.combining(c)])
-    return " ".join(text.lower().split()).strip(_EDGES)
+        text = _COMBINING.sub("", unicodedata.normalize("NFKD", text.replace("’", "'")))
+    lines = text.lower().split("\n")
+    if "  " in text:
+        lines = [" ".join(line.split()) for line in lines]
+    return [line.strip(_EDGES) for line in lines]
 
 
-def masked(block: list[str]) -> str | None:
-    """The folded passages of one block with names and numbers masked; None if too little else is left."""
-    text = fold(" ".join([_NAME.sub(_MASK, p) for p in block]))
+def masked(frames: list[str]) -> str | None:
+    """The frames of one block's passages together; None if too little besides masks is left."""
+    text = " ".join(frames)
     words, masks = text.count(" ") + 1, text.count(_MASK)
     return text if words - masks >= max(OWN_WORDS, masks) else None
 
 
 def quotes(passage: str) -> list[str]:
     """What stands in quotation marks or italics."""
+    if "''" not in passage and not any([q in passage for q in _QUOTES]):
+        return []
     return _QUOTED.findall(passage.replace("'''", ""))
 
 
@@ -263,25 +272,34 @@ def suspected(passage: str) -> bool:
 
     A term that the passage also shows in quotation marks or italics is spoken about, not left over.
     """
-    if not _MARKS.search(passage) or not _AMBIGUOUS.search(passage):
+    if not any([m in passage for m in _MARKS]) or not _AMBIGUOUS.search(passage):
         return False
     shown = {m[0] for quote in quotes(passage) for m in _AMBIGUOUS.finditer(quote)}
     return any(m[0] not in shown for m in _AMBIGUOUS.finditer(passage))
 
 
-def frame(passage: str) -> str | None:
-    """The folded passage with everything masked that fills a field: placeholders, ambiguous marks, names and numbers.
-
-    None if nothing is masked, or nothing besides that tells what belongs there (a word, or the cells of a table).
-    """
-    text = _FIELD.sub(_MASK, _SUBJECT.sub(_MASK, passage)) if "'''" in passage else _FIELD.sub(_MASK, passage)
+def frames(parts: list[str]) -> list[str]:
+    """The folded parts of a block with everything masked that fills a field: placeholders, ambiguous marks, names and numbers."""
+    if not parts:
+        return []
+    text = "\n".join(parts)
+    if "'''" in text:
+        text = _SUBJECT.sub(_MASK, text)
+    if bracketed(text) or any([x in text for x in _LITERALS]) or any([m in text for m in _MARKS]):
+        text = _FIELD.sub(_MASK, text)
     if "[[" in text or "'''" in text:
         text = text.replace("[[", "").replace("]]", "").replace("'''", "")
-    text = _FRAMED.sub(_MASK, text)
-    if _MASK not in text:
-        return None
-    text = fold(_MASKS.sub(_MASK, text))
-    return text if _MASK in text and (_WORD.search(text) or "||" in text) else None
+    return fold_all(_MASKS.sub(_MASK, _FRAMED.sub(_MASK, text)).split("\n"))
+
+
+def telling(frame: str) -> bool:
+    """Whether a frame has a mask and something besides that tells what belongs there (a word, or the cells of a table)."""
+    return _MASK in frame and ("||" in frame or bool(_WORD.search(frame)))
+
+
+def bracketed(passage: str) -> bool:
+    """Whether something stands in single square brackets."""
+    return "[" in passage and "[" in passage.replace("[[", "")
 
 
 def parts(passage: str) -> list[str]:
@@ -302,19 +320,39 @@ def block_kind(block: list[str], kinds: list[str | None]) -> str | None:
 
 def trusted(passage: str, folded: str) -> str | None:
     """The kind of residue a passage certainly is, or None. A notice in quotation marks or italics is spoken about."""
-    if any([x in passage for x in _LITERALS]) and _PLACEHOLDER.search(passage):
-        return "placeholder"
-    if _LOG.search(folded):
+    return trusted_all([passage], [folded])[0]
+
+
+def trusted_all(passages: list[str], folded: list[str]) -> list[str | None]:
+    """The kinds of the passages of a block."""
+    if not passages:
+        return []
+    text = "\n".join(passages)
+    fields = (bracketed(text) or any([x in text for x in _LITERALS])) and bool(_PLACEHOLDER.search(text))
+    lines = "\n".join(folded).translate(_PUNCTUATION).split("\n")
+    return [
+        "placeholder" if fields and _PLACEHOLDER.search(passage) else _spoken(passage, plain, line.split())
+        for passage, plain, line in zip(passages, folded, lines, strict=True)
+    ]
+
+
+def _spoken(passage: str, folded: str, words: list[str]) -> str | None:
+    """The kind of a passage by its words."""
+    if not words:
+        return None
+    if (words[0] in _LOG_STARTS or words[0].isdigit() or any([x in folded for x in _LOG_PIECES])) and _LOG.search(folded):
         return "error"
-    words = folded.split()
-    if _NOTE.search(folded):
-        return "filler"
-    known = {w.strip(".,") for w in words} & FILLER_WORDS
-    if len(known) >= 3 and 5 * sum([w.strip(".,") in known for w in words]) >= 2 * len(words):
-        return "filler"
-    if len(words) <= LONGEST and _HINT.search(folded):
+    if words[0] in _NOTE_STARTS or len(words) > 2 and words[0] == words[1] == words[2]:
+        if _NOTE.search(folded):
+            return "filler"
+    if not FILLER_WORDS.isdisjoint(words):
+        known = FILLER_WORDS.intersection(words)
+        if len(known) >= 3 and 5 * sum([w in known for w in words]) >= 2 * len(words):
+            return "filler"
+    # Running text is told by its own words first, before any pattern is tried.
+    if len(words) <= LONGEST and 2 * sum(map(_VOCABULARY.__contains__, words)) >= len(words) and covered(folded):
         for kind, cores in _KINDS:
-            if cores.search(folded) and covered(folded) and not _ABOUT.search(folded) and not any([cores.search(fold(q)) for q in quotes(passage)]):
+            if cores.search(folded) and not _ABOUT.search(folded) and not any([cores.search(fold(q)) for q in quotes(passage)]):
                 return kind
     return None
 
