@@ -1,7 +1,7 @@
 """What changed between consecutive full snapshots.
 
 Only compact triples (place of the snapshot in the series, key, hash of the compared fields) are shuffled, into
-hash buckets of the key, repeated ones of a batch once. Each bucket is sorted once in numpy and consecutive
+hash buckets of the key, repeated ones once. Each bucket is sorted once in numpy and consecutive
 snapshots are compared by ``searchsorted``; full values are fetched afterwards for the differing keys alone.
 """
 
@@ -94,14 +94,11 @@ def diff_snapshots(snapshots: DataFrame, *, snapshot: str, key: str, compare: li
     n_series = series.count()
     small = n_series <= BROADCAST_SERIES
     compact = rows.select(F.col(f"`{snapshot}`").alias("snap"), F.col(f"`{key}`").cast("long").alias("key"), row_hash(*compare).alias("hash"))
-    compact = compact.join(F.broadcast(series) if small else series, "snap").select("at", "key", "hash")
+    compact = compact.join(F.broadcast(series) if small else series, "snap")
+    # Repeated rows are one before they are gathered by key, so a key that holds a third of all rows is as cheap as any other.
+    compact = compact.groupBy("at", "key").agg(F.min("hash").alias("hash"))
     buckets = buckets or max(int(snapshots.sparkSession.sparkContext.defaultParallelism), planned_bytes(rows) // BUCKET_BYTES)
 
-    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            triples = [np.asarray(batch.column(i)) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in unique_sorted(*triples)], ["at", "key", "hash"])
-
     def bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [[np.asarray(b.column(i)) for i in range(3)] for b in batches if b.num_rows]
         if not parts:
@@ -112,7 +109,7 @@ def diff_snapshots(snapshots: DataFrame, *, snapshot: str, key: str, compare: li
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), at, np.int32)), pa.array(found), pa.array(codes.astype(np.int32))], ["at", "key", "code"])
 
     kind = "at int, key long"
-    found = compact.mapInArrow(once, f"{kind}, hash long").repartition(buckets, "key").mapInArrow(bucket, f"{kind}, code int")
+    found = compact.repartition(buckets, "key").mapInArrow(bucket, f"{kind}, code int")
     named = found.join(F.broadcast(series) if small else series, "at")
     change = F.element_at(F.array(*[F.lit(c) for c in CHANGES]), F.col("code") + 1)
     return named.select(F.col("snap").alias(snapshot), F.col("key").alias(key), change.alias("change"))
