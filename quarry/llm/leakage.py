@@ -348,13 +348,29 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
     return int(held[-1])
 
 
-def likeliest_part(item: np.ndarray, text: np.ndarray) -> np.ndarray:
+def word_index(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different words of a text, sorted, the number of each place's word among them, and how often each occurs."""
+    return np.unique(text, return_inverse=True, return_counts=True)
+
+
+def words_held(item: np.ndarray, index: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """Which of the item's words the text has."""
+    values = index[0]
+    place = np.searchsorted(values, item)
+    place[place == len(values)] = 0
+    return values[place] == item
+
+
+def likeliest_part(item: np.ndarray, text: np.ndarray, index: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> np.ndarray:
     """The part of a text, half as long again as the item, that holds most of the item's words, each counted by its rarity in the text."""
     width = len(item) + len(item) // 2
     if len(text) <= width:
         return text
-    values, place, often = np.unique(text, return_inverse=True, return_counts=True)
-    worth = np.where(np.isin(values, item), 1.0 / often, 0.0)[place]
+    values, place, often = index or word_index(text)
+    shared = np.searchsorted(values, np.unique(item[words_held(item, (values, place, often))]))
+    worth = np.zeros(len(values))
+    worth[shared] = 1.0 / often[shared]
+    worth = worth[place]
     sums = np.concatenate([[0.0], np.cumsum(worth)])
     start = int(np.argmax(sums[width:] - sums[:-width]))
     return text[start : start + width]
@@ -366,11 +382,13 @@ _FOUND = "doc long, item long, run int, common int, item_words int, answer boole
 def _decide(pairs: DataFrame, corpus: DataFrame, items: DataFrame, min_run: int) -> DataFrame:
     """The figures of candidate pairs, from the words themselves."""
 
-    def figures(doc: int, text: np.ndarray, item: int, asked: np.ndarray, reply: np.ndarray | None) -> tuple | None:
+    def figures(doc: int, text: np.ndarray, index: tuple, item: int, asked: np.ndarray, reply: np.ndarray | None) -> tuple | None:
         if min_run and not _shares_run(asked, text, min_run):
             return None
-        part = likeliest_part(asked, text)
-        # No more words can be common in order than the part has of the item's.
+        # No more words can be common in order than the text, and then its part, has of the item's.
+        if not min_run and words_held(asked, index).sum() < COMMON * len(asked):
+            return None
+        part = likeliest_part(asked, text, index)
         if not min_run and np.isin(asked, part).sum() < COMMON * len(asked):
             return None
         common = common_subsequence(asked, part)
@@ -390,7 +408,7 @@ def _decide(pairs: DataFrame, corpus: DataFrame, items: DataFrame, min_run: int)
             replies = batch.column(4).to_pylist()
             numbers = zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)
             yield frame([
-                figures(doc, flat[ends[r] : ends[r + 1]], item, other[other_ends[r] : other_ends[r + 1]], None if replies[r] is None else np.array(replies[r], np.int32))
+                figures(doc, text := flat[ends[r] : ends[r + 1]], word_index(text), item, other[other_ends[r] : other_ends[r + 1]], None if replies[r] is None else np.array(replies[r], np.int32))
                 for r, (doc, item) in enumerate(numbers)
             ])
 
@@ -406,7 +424,12 @@ def _decide(pairs: DataFrame, corpus: DataFrame, items: DataFrame, min_run: int)
             for batch in batches:
                 flat, ends = _flat(batch.column(1))
                 numbers = zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)
-                yield frame([figures(doc, flat[ends[r] : ends[r + 1]], item, *of) for r, (doc, sought) in enumerate(numbers) for item in sought for of in texts[item]])
+                rows: list[tuple | None] = []
+                for r, (doc, sought) in enumerate(numbers):
+                    text = flat[ends[r] : ends[r + 1]]
+                    index = word_index(text)
+                    rows += [figures(doc, text, index, item, *of) for item in sought for of in texts[item]]
+                yield frame(rows)
 
         lists = pairs.groupBy("doc").agg(F.collect_set("item").alias("sought"))
         found = corpus.join(lists, "doc").select("doc", "ids", "sought").mapInArrow(by_document, _FOUND)
