@@ -47,7 +47,7 @@ def main(arguments: list[str] | None = None) -> int:
     c.add_argument("--show-schema", action="store_true"), c.add_argument("--show-stats", action="store_true")
     q = commands.add_parser("query")
     q.add_argument("source"), q.add_argument("sql", help="a statement, or a plan as JSON")
-    q.add_argument("--format", choices=("json", "table"), default="json"), q.add_argument("--strict", action="store_true")
+    q.add_argument("--format", choices=("json", "table"), default="json"), q.add_argument("--strict", action="store_true"), q.add_argument("--stats", action="store_true", help="run it and tell what it read and did")
     b = commands.add_parser("bench")
     b.add_argument("source"), b.add_argument("file"), b.add_argument("--only"), b.add_argument("--runs", type=int, default=5), b.add_argument("--warmup", type=int, default=2)
     p = commands.add_parser("parity")
@@ -73,7 +73,11 @@ def main(arguments: list[str] | None = None) -> int:
             result = main_frame(table, build_plan(args.sql))
         else:
             result = table.sql(args.sql, strict=args.strict)
-        if args.format == "table":
+        if args.stats:
+            from quarry.explore.diagnosis import run_statistics
+
+            print(json.dumps(run_statistics(result)))
+        elif args.format == "table":
             result.show(1000, truncate=False)
         else:
             for line in result.toJSON().toLocalIterator():

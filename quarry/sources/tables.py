@@ -92,9 +92,13 @@ class Table:
 
 
 def open_table(spark: SparkSession, path: str, name: str | None = None) -> Table:
-    """Open a Parquet, ORC, CSV or JSON path or .sav path (by its extension; Parquet by default)."""
+    """Open a Parquet, ORC, CSV or JSON path or .sav path (by its extension; Parquet by default), or a Parquet file behind HTTP."""
     kind = posixpath.splitext(path.rstrip("/"))[1].lower()
-    if kind == ".csv":
+    if path.startswith(("http://", "https://")):
+        from quarry.sources.http import read_http
+
+        df = read_http(spark, path)
+    elif kind == ".csv":
         df = spark.read.option("header", True).option("inferSchema", True).csv(path)
     elif kind in (".json", ".jsonl", ".ndjson"):
         df = spark.read.json(path)

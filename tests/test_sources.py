@@ -178,6 +178,7 @@ def test_command_line(spark, tmp_path, capsys):
     spark.range(10).write.parquet(path)
     assert cli.main(["query", path, "SELECT COUNT(*) AS n FROM t"]) == 0 and '{"n":10}' in capsys.readouterr().out
     assert cli.main(["query", path, '{"limit": 2, "select": ["id"]}']) == 0 and '{"id":1}' in capsys.readouterr().out
+    assert cli.main(["query", path, "SELECT MAX(id) AS n FROM t", "--stats"]) == 0 and '"rows": 1' in capsys.readouterr().out
     file = tmp_path / "q.md"
     file.write_text("# notes\nSELECT COUNT(*) AS n FROM t;\nSELECT MAX(id) AS m FROM t;\n")
     assert cli.main(["bench", path, str(file), "--only", "2", "--runs", "1", "--warmup", "0"]) == 0 and '"query": 2' in capsys.readouterr().out
@@ -186,6 +187,19 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.chosen("1,3-5", 4) == [1, 3, 4] and cli.statements("SELECT 1;\nSELECT 2;", False) == ["SELECT 1", "SELECT 2"]
 
 
+def test_a_cluster_needs_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from quarry.session import shared_dir
+
+    unset = SimpleNamespace(get=lambda *a: None)
+    context = SimpleNamespace(getConf=lambda: unset, master="spark://host:7077")
+    with pytest.raises(PlanError):
+        shared_dir(SimpleNamespace(conf=unset, sparkContext=context))
+    named = SimpleNamespace(get=lambda key, *a: "hdfs:///shared")
+    assert shared_dir(SimpleNamespace(conf=named, sparkContext=context)) == "hdfs:///shared"
+
+
 def test_written_tables_are_dropped(spark):
     import os
 
