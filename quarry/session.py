@@ -79,13 +79,11 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` by a checkpoint in the shared folder, so that a lost executor costs only a re-read."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_dir(spark))
-        _delete_on_exit(spark, context._jsc.sc().getCheckpointDir().get())
-    return df.checkpoint(eager=True)
+    """Cut the lineage of ``df`` by a table in the shared folder, so that a lost executor costs only a re-read.
+
+    A checkpoint would do as well, but computes everything twice.
+    """
+    return written(df, "durable")
 
 
 def written(df: DataFrame, label: str = "stage") -> DataFrame:
@@ -98,7 +96,7 @@ def written(df: DataFrame, label: str = "stage") -> DataFrame:
     _delete_on_exit(spark, path)
     df.write.parquet(path)
     _WRITTEN.append(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 _WRITTEN: list[str] = []
