@@ -46,12 +46,13 @@ BROADCAST_ROWS = 50_000
 #: Nor is one of more words: a passage has about a fifth of its words as prefix entries of 20 bytes.
 BROADCAST_WORDS = 2_000_000
 CACHED_CHARS = 30_000_000
+_MARKS = ".,;:!?()[]{}<>\"“”„«»‘’'/|–—…=*#-_"
 #: A word is filler if it lies in so many passages or more, this share of them labelled; a passage, if this share of its words is (two at least).
 WORD_PASSAGES, WORD_SHARE, PASSAGE_SHARE = 3, 0.5, 0.6
 #: Share of public filler words, two of them different, that makes a passage a start of filler.
 SEED_SHARE = 0.25
-#: A vocabulary of at most so many words (counted before) is broadcast; a larger one is joined by shuffle.
-BROADCAST_VOCABULARY = 200_000
+#: A vocabulary out of at most so many words, repeated ones included (counted before), is broadcast; a larger one is joined by shuffle.
+BROADCAST_VOCABULARY = 1_000_000
 #: What a kept form is: open to labels, showing terms (never labelled by likeness), or a frame with a value or with an ambiguous mark.
 OPEN, SHOWS, FILLED, SUSPECT = range(4)
 
@@ -286,24 +287,30 @@ def resolve_suspects(passages: DataFrame) -> DataFrame:
 
 def spread_filler(passages: DataFrame) -> DataFrame:
     """``(key, kind)``: the open passages made of filler words, which are learned from those that hold the public ones."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower("folded"), F.lit(r"(\p{L}{3,})"), F.lit(1)))
-    open_ones = passages.where(F.col("kind").isNull() & (F.col("role") == OPEN)).select("key", words.alias("words"))
-    public = F.size(F.array_intersect("words", F.array(*[F.lit(w) for w in sorted(rules.FILLER_WORDS)])))
-    labelled = durable(open_ones.where((public >= 2) & (public >= SEED_SHARE * F.size("words"))).select("key", "words"))
+    spaced = F.translate(F.lower("folded"), _MARKS, " " * len(_MARKS))
+    words = F.array_distinct(F.filter(F.split(spaced, " "), lambda w: F.length(w) >= 3)).alias("words")
+    open_ones = passages.where(F.col("kind").isNull() & (F.col("role") == OPEN))
+    public = sorted(rules.FILLER_WORDS)
+    # Patterns look for one public word first; words are listed for the few passages that have one.
+    holding = open_ones.where(F.col("folded").rlike(r"\b(?:" + "|".join(public) + r")\b")).select("key", words)
+    held = F.size(F.array_intersect("words", F.array(*[F.lit(w) for w in public])))
+    labelled = durable(holding.where((held >= 2) & (held >= SEED_SHARE * F.size("words"))).select("key", "words"))
+    if labelled.isEmpty():
+        return labelled.select("key").withColumn("kind", F.lit("filler"))
+    open_ones = written(open_ones.select("key", words), "words")
     flat = open_ones.select("key", F.size("words").alias("n"), F.explode("words").alias("word"))
-    known, size, first = 0, labelled.count(), labelled
-    while size > known:
-        known = size
+    first, known = labelled, 0
+    while True:
+        size, listed = labelled.select(F.count("*"), F.sum(F.size("words"))).first()
+        if size == known:
+            break
+        known, few = size, listed <= BROADCAST_VOCABULARY
         inside = labelled.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("inside")).where(F.col("inside") >= WORD_PASSAGES)
-        inside = durable(inside)
-        few = inside.count() <= BROADCAST_VOCABULARY
         counts = flat.join(F.broadcast(inside) if few else inside, "word").groupBy("word", "inside").agg(F.count("*").alias("n"))
-        vocabulary = durable(counts.where(F.col("inside") >= WORD_SHARE * F.col("n")).select("word"))
+        vocabulary = counts.where(F.col("inside") >= WORD_SHARE * F.col("n")).select("word")
         hits = flat.join(F.broadcast(vocabulary) if few else vocabulary, "word").groupBy("key", "n").agg(F.count("*").alias("hits"))
         hit = hits.where((F.col("hits") >= 2) & (F.col("hits") >= PASSAGE_SHARE * F.col("n"))).select("key")
-        grown = first.select("key").unionByName(hit).distinct()
-        labelled = durable(open_ones.join(grown, "key", "left_semi"))
-        size = labelled.count()
+        labelled = durable(open_ones.join(first.select("key").unionByName(hit).distinct(), "key", "left_semi"))
     return labelled.select("key").withColumn("kind", F.lit("filler"))
 
 
