@@ -17,38 +17,52 @@ from pyspark.sql import functions as F
 
 from quarry.schema import exact
 
-#: Local dictionary entries after which a split sends its arrays and starts anew (bounds memory, drops nothing).
-FLUSH_KEYS = 500_000
+#: Entries and bytes of keys after which a split sends its arrays and starts anew (bounds memory, drops nothing).
+FLUSH_KEYS, FLUSH_BYTES = 500_000, 256 << 20
+#: Entries of batches that are gathered before they are united.
+GATHER_KEYS = 100_000
 
 
 class DenseSums:
-    """Counts and integer sums per dictionary code of one split."""
+    """Counts and integer sums per dictionary code of one split: every batch by itself, united from time to time."""
 
-    def __init__(self, with_value: bool):
-        self.codes: dict[str | None, int] = {}
-        self.counts = np.zeros(1024, np.int64)
-        self.sums = np.zeros(1024, np.int64)
-        self.with_value = with_value
+    def __init__(self) -> None:
+        self.parts: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
+        self.entries = self.bytes = 0
 
     def add(self, keys: pa.Array, values: pa.Array | None) -> None:
         encoded = keys.dictionary_encode(null_encoding="encode")
-        local = np.fromiter((self.codes.setdefault(k, len(self.codes)) for k in encoded.dictionary.to_pylist()), np.int64, len(encoded.dictionary))
-        if len(self.codes) > len(self.counts):
-            size = max(2 * len(self.counts), len(self.codes))
-            self.counts, self.sums = (np.concatenate([a, np.zeros(size - len(a), np.int64)]) for a in (self.counts, self.sums))
-        index = np.asarray(encoded.indices)
-        self.counts[local] += np.bincount(index, minlength=len(local))
+        index, size = np.asarray(encoded.indices), len(encoded.dictionary)
+        sums = np.zeros(size, np.int64)
         if values is not None:
-            dense = np.zeros(len(local), np.int64)
-            np.add.at(dense, index, np.asarray(pc.fill_null(values, 0)))
-            self.sums[local] += dense
+            np.add.at(sums, index, np.asarray(pc.fill_null(values, 0)))
+        self._hold(encoded.dictionary, np.bincount(index, minlength=size), sums)
+        if self.entries >= GATHER_KEYS and len(self.parts) > 1:
+            self.unite()
+
+    def _hold(self, keys: pa.Array, counts: np.ndarray, sums: np.ndarray) -> None:
+        self.parts.append((keys, counts, sums))
+        self.entries += len(keys)
+        self.bytes += keys.nbytes
+
+    def unite(self) -> None:
+        """One code per key over all parts."""
+        encoded = pa.concat_arrays([k for k, _, _ in self.parts]).dictionary_encode(null_encoding="encode")
+        index = np.asarray(encoded.indices)
+        counts, sums = np.zeros(len(encoded.dictionary), np.int64), np.zeros(len(encoded.dictionary), np.int64)
+        np.add.at(counts, index, np.concatenate([c for _, c, _ in self.parts]))
+        np.add.at(sums, index, np.concatenate([s for _, _, s in self.parts]))
+        self.__init__()
+        self._hold(encoded.dictionary, counts, sums)
+
+    @property
+    def full(self) -> bool:
+        return self.bytes >= FLUSH_BYTES or (len(self.parts) == 1 and self.entries >= FLUSH_KEYS)
 
     def take(self) -> pa.RecordBatch:
-        n = len(self.codes)
-        batch = pa.RecordBatch.from_arrays(
-            [pa.array(list(self.codes), pa.string()), pa.array(self.counts[:n]), pa.array(self.sums[:n])], ["key", "rows", "total"]
-        )
-        self.__init__(self.with_value)
+        self.unite()
+        batch = pa.RecordBatch.from_arrays([self.parts[0][0], pa.array(self.parts[0][1]), pa.array(self.parts[0][2])], ["key", "rows", "total"])
+        self.__init__()
         return batch
 
 
@@ -60,12 +74,13 @@ def key_totals(df: DataFrame, key: str, value: str | None = None) -> DataFrame:
     """
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = DenseSums(value is not None)
+        held = DenseSums()
         for batch in batches:
-            held.add(batch.column(0), batch.column(1) if value else None)
-            if len(held.codes) >= FLUSH_KEYS:
+            if batch.num_rows:
+                held.add(batch.column(0), batch.column(1) if value else None)
+            if held.full:
                 yield held.take()
-        if held.codes:
+        if held.parts:
             yield held.take()
 
     columns = [F.col(key).cast("string").alias("key")] + ([F.col(value).cast("long").alias("value")] if value else [])

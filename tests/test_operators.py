@@ -169,11 +169,21 @@ def test_key_totals(spark, rows, monkeypatch):
     assert heavy_keys.key_totals(df.limit(0), "k").collect() == [] and heavy_keys.heavy_keys(df.limit(0), "k", 0.1).collect() == []
 
 
-def test_dense_sums_grow_and_flush():
-    held = heavy_keys.DenseSums(True)
+def test_dense_sums_unite_and_flush(spark, rows, monkeypatch):
+    held = heavy_keys.DenseSums()
     held.add(pa.array([str(i) for i in range(5000)] + ["7"]), pa.array([1] * 5001))
     batch = held.take()
-    assert batch.num_rows == 5000 and sum(batch.column(1).to_pylist()) == 5001 and held.codes == {}
+    assert batch.num_rows == 5000 and sum(batch.column(1).to_pylist()) == 5001 and held.parts == []
+    monkeypatch.setattr(heavy_keys, "GATHER_KEYS", 7)
+    for number in range(30):
+        held.add(pa.array(["a", None, str(number % 11), "a"]), pa.array([1, None, 2, 3]) if number % 2 else None)
+    assert len(held.parts) < 5 and not held.full
+    monkeypatch.setattr(heavy_keys, "FLUSH_BYTES", 1)
+    assert held.full
+    totals = dict(zip(*[c.to_pylist() for c in held.take().columns[:2]], strict=True))
+    assert totals["a"] == 60 and totals[None] == 30 and totals["3"] == 3 and len(totals) == 13
+    df = spark.range(4000).selectExpr("concat('k', id % 1500) AS k", "id AS v")
+    assert rows(heavy_keys.key_totals(df, "k", "v")) == sorted([(f"k{i}", len(range(i, 4000, 1500)), sum(range(i, 4000, 1500))) for i in range(1500)], key=repr)
 
 
 def test_rolling(spark):

@@ -27,7 +27,7 @@ def test_dialect_rewrites():
     assert normalise("SELECT 'it''s', \"A b\" FROM t") == r"SELECT 'it\'s', `A b` FROM t"
 
 
-# The shapes of the public web-analytics statements, in their dialect, with the answers by plain Python.
+# Fixed values, some as published: shapes of the public web-analytics statements, in their dialect, with the answers by plain Python.
 STATEMENTS = [
     ("SELECT COUNT(*) FROM hits", lambda h: [(len(h),)]),
     ("SELECT COUNT(*) FROM hits WHERE AdvEngineID <> 0", lambda h: [(sum(r[4] != 0 for r in h),)]),
