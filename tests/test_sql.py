@@ -19,7 +19,7 @@ def hits(spark):
 def test_dialect_rewrites():
     assert normalise("SELECT a FROM t OFFSET 10 LIMIT 5;") == "SELECT a FROM t LIMIT 5 OFFSET 10"
     assert normalise("SELECT STRLEN(a) FROM t") == "SELECT length(a) FROM t"
-    assert normalise("SELECT extract('minute', toDateTime(x)) FROM t", {"x"}) == "SELECT extract(minute FROM timestamp_seconds(x)) FROM t"
+    assert normalise("SELECT extract('minute', toDateTime(x)) FROM t", {"x"}) == "SELECT extract(minute FROM (TIMESTAMP_NTZ'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, x))) FROM t"
     assert normalise("SELECT 1, u, COUNT(*) FROM t GROUP BY 1, u ORDER BY u") == "SELECT 1, u, COUNT(*) FROM t GROUP BY u ORDER BY u"
     assert normalise("SELECT a FROM t WHERE d >= '2013-07-01'", {"d"}) == "SELECT a FROM t WHERE d >= 15887"
     assert normalise("SELECT a FROM t WHERE d = '2013-07-01'") == "SELECT a FROM t WHERE d = '2013-07-01'"
@@ -46,6 +46,7 @@ STATEMENTS = [
     ("SELECT CASE WHEN (CounterID = 0 AND AdvEngineID = 0) THEN URL ELSE '' END AS Src, COUNT(*) AS c FROM hits GROUP BY Src ORDER BY c DESC LIMIT 1 OFFSET 0", lambda h: [("", 400)]),
     ("SELECT DATE_TRUNC('minute', toDateTime(EventTime)) AS M, COUNT(*) AS c FROM hits GROUP BY DATE_TRUNC('minute', toDateTime(EventTime)) ORDER BY c DESC LIMIT 0", lambda h: []),
     ("SELECT extract(minute FROM toDateTime(EventTime)) AS m, COUNT(*) AS c FROM hits GROUP BY m ORDER BY m LIMIT 0", lambda h: []),
+    ("SELECT extract(hour FROM toDateTime(EventTime)) AS h, extract(minute FROM toDateTime(EventTime)) AS m FROM hits WHERE WatchID = 5", lambda h: [(4, 56)]),
     ("SELECT SUM(ResolutionWidth), SUM(ResolutionWidth + 1) FROM hits", lambda h: [(sum(r[9] for r in h), sum(r[9] + 1 for r in h))]),
 ]
 
@@ -94,3 +95,12 @@ def test_strict_accepts(text):
 def test_strict_rejects(text):
     with pytest.raises(UnsupportedSqlError):
         check_strict(text)
+
+
+def test_seconds_do_not_depend_on_the_session_zone(spark, hits):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
+    try:
+        assert tuple(hits.sql("SELECT extract(hour FROM toDateTime(EventTime)), extract(minute FROM toDateTime(EventTime)) FROM hits WHERE WatchID = 5").collect()[0]) == (4, 56)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
