@@ -214,11 +214,11 @@ def with_prefix(frontier: DataFrame) -> DataFrame:
 
 
 def table_entries(sim: Column) -> Column:
-    """The entries of a hash in all tables, the table's number in each."""
+    """The entries of a hash in all tables as whole numbers, the table's number in the upper half."""
     width = -(-64 // BLOCKS)
     block = [F.shiftrightunsigned(sim, i * width).bitwiseAND(F.lit((1 << width) - 1)) for i in range(BLOCKS)]
     return F.array(
-        *[F.struct(F.lit(n).alias("table"), F.shiftleft(block[a], width).bitwiseOR(block[b]).alias("entry")) for n, (a, b) in enumerate(combinations(range(BLOCKS), KEPT))]
+        *[F.shiftleft(block[a], width).bitwiseOR(block[b]).bitwiseOR(F.lit(n << 32)) for n, (a, b) in enumerate(combinations(range(BLOCKS), KEPT))]
     )
 
 
@@ -233,10 +233,9 @@ def near_pairs(frontier: DataFrame, others: DataFrame, small: bool) -> DataFrame
 
     Only hashes and keys meet in the tables and prefixes; the texts of the few pairs left are fetched to verify them.
     """
-    entries = frontier.select(F.col("key").alias("seed"), F.col("sim").alias("seed_sim"), F.explode(table_entries(F.col("sim"))).alias("e"))
-    entries = entries.select("seed", "seed_sim", "e.table", "e.entry")
-    rows = others.select("key", "sim", F.explode(table_entries(F.col("sim"))).alias("e")).select("key", "sim", "e.table", "e.entry")
-    near = rows.join(F.broadcast(entries) if small else entries, ["table", "entry"])
+    entries = frontier.select(F.col("key").alias("seed"), F.col("sim").alias("seed_sim"), F.explode(table_entries(F.col("sim"))).alias("entry"))
+    rows = others.select("key", "sim", F.explode(table_entries(F.col("sim"))).alias("entry"))
+    near = rows.join(F.broadcast(entries) if small else entries, "entry")
     near = near.where(F.bit_count(F.col("sim").bitwiseXOR(F.col("seed_sim"))) <= HAMMING).select("key", "seed")
     tokens = with_prefix(frontier)
     sharing = others.select("key", "shingles", F.explode("prefix").alias("token")).join(F.broadcast(tokens) if small else tokens, "token")
