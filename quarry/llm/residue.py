@@ -53,8 +53,9 @@ WORD_PASSAGES, WORD_SHARE, PASSAGE_SHARE = 3, 0.5, 0.6
 SEED_SHARE = 0.25
 #: A vocabulary out of at most so many words, repeated ones included (counted before), is broadcast; a larger one is joined by shuffle.
 BROADCAST_VOCABULARY = 1_000_000
-#: What a kept form is: open to labels, showing terms (never labelled by likeness), or a frame with a value or with an ambiguous mark.
-OPEN, SHOWS, FILLED, SUSPECT = range(4)
+#: What a kept form is: open to labels (with public filler words, or without), showing terms (never labelled by likeness), or a frame
+#: with a value or with an ambiguous mark. Of equal forms the greatest holds.
+LATIN, OPEN, SHOWS, FILLED, SUSPECT = range(-1, 4)
 
 _EXTRACTED = "doc long, keys array<long>, key long, folded string, kind string, role int"
 
@@ -78,7 +79,8 @@ def extract(df: DataFrame, key: str, text: str) -> DataFrame:
                         folded = rules.fold_all(passages)
                         kinds = rules.trusted_all(passages, folded)
                         shown = [rules.explains(p) for p in passages]
-                        units = [(f, k, SHOWS if s else OPEN) for f, k, s in zip(folded, kinds, shown, strict=True)]
+                        latin = rules.holding_filler(folded)
+                        units = [(f, k, SHOWS if s else LATIN if w else OPEN) for f, k, s, w in zip(folded, kinds, shown, latin, strict=True)]
                         parts = [(part, kind) for p, kind in zip(passages, kinds, strict=True) for part in rules.parts(p)]
                         texts = rules.frames([p for p, _ in parts])
                         frames = [
@@ -87,7 +89,7 @@ def extract(df: DataFrame, key: str, text: str) -> DataFrame:
                         ]
                         kind = rules.block_kind(passages, kinds)
                         if (kind or not any(kinds) and not any(shown)) and (text := rules.masked(texts)):
-                            units.append((text, kind, OPEN))
+                            units.append((text, kind, LATIN if rules.holding_filler([text])[0] else OPEN))
                         for folded, kind, role in units + frames:
                             if not folded and not kind:
                                 continue
@@ -249,7 +251,7 @@ def near_pairs(frontier: DataFrame, others: DataFrame, small: bool) -> DataFrame
 
 def neighbours(frontier: DataFrame, passages: DataFrame, small: bool) -> DataFrame:
     """``(key, kind)`` of the unlabelled open ``passages`` near some passage of ``frontier(key, folded, kind, sim)``."""
-    pairs = near_pairs(frontier, passages.where(F.col("kind").isNull() & (F.col("role") == OPEN)), small)
+    pairs = near_pairs(frontier, passages.where(F.col("kind").isNull() & (F.col("role") <= OPEN)), small)
     return pairs.join(frontier.select(F.col("key").alias("seed"), "kind"), "seed").groupBy("key").agg(F.min("kind").alias("kind"))
 
 
@@ -288,12 +290,9 @@ def spread_filler(passages: DataFrame) -> DataFrame:
     """``(key, kind)``: the open passages made of filler words, which are learned from those that hold the public ones."""
     spaced = F.translate(F.lower("folded"), _MARKS, " " * len(_MARKS))
     words = F.array_distinct(F.filter(F.split(spaced, " "), lambda w: F.length(w) >= 3)).alias("words")
-    open_ones = passages.where(F.col("kind").isNull() & (F.col("role") == OPEN))
-    public = sorted(rules.FILLER_WORDS)
-    # Patterns look for one public word first; words are listed for the few passages that have one.
-    holding = open_ones.where(F.col("folded").rlike(r"\b(?:" + "|".join(public) + r")\b")).select("key", words)
-    held = F.size(F.array_intersect("words", F.array(*[F.lit(w) for w in public])))
-    labelled = durable(holding.where((held >= 2) & (held >= SEED_SHARE * F.size("words"))).select("key", "words"))
+    open_ones = passages.where(F.col("kind").isNull() & (F.col("role") <= OPEN))
+    held = F.size(F.array_intersect("words", F.array(*[F.lit(w) for w in sorted(rules.FILLER_WORDS)])))
+    labelled = durable(open_ones.where(F.col("role") == LATIN).select("key", words).where((held >= 2) & (held >= SEED_SHARE * F.size("words"))))
     if labelled.isEmpty():
         return labelled.select("key").withColumn("kind", F.lit("filler"))
     open_ones = written(open_ones.select("key", words), "words")

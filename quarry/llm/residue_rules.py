@@ -357,6 +357,14 @@ def _spoken(passage: str, folded: str, words: list[str]) -> str | None:
     return None
 
 
+def holding_filler(folded: list[str]) -> list[bool]:
+    """Which passages of a block have two words or more of the public filler text."""
+    text = "\n".join(folded).translate(_PUNCTUATION)
+    if FILLER_WORDS.isdisjoint(text.split()):
+        return [False] * len(folded)
+    return [len(FILLER_WORDS.intersection(line.split())) >= 2 for line in text.split("\n")]
+
+
 def covered(folded: str) -> bool:
     """Whether the words of a passage are mostly of cores and vocabulary (numbers, single letters and a quoted name do not count)."""
     words = _WORD.findall(_NAMED.sub(" ", folded))
